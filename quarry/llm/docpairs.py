@@ -117,7 +117,7 @@ TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|returns?|type|throws|exception
 SECTION = re.compile(r"^(?:args|arguments|params|parameters|returns?|raises|yields|throws|attributes|examples?|usage)\s*:?\s*$", re.I)
 SECTION_LINE = re.compile(r"^(?:args|arguments|params|parameters|returns?|raises|yields|throws)\s*:", re.I)
 CODE = re.compile(
-    r"^(?:.*[;{}]\s*$|(?:const|let|var|return|import|from|def|class|if|for|while|elif|else|try|except|export|function|async|await|del|assert|raise|throw|print)\b.*[()\[\]{}=:;].*"
+    r"^(?:.*[;{}]\s*$|(?:curl|wget|pip|npm|\$)\s.*|(?:const|let|var|return|import|from|def|class|if|for|while|elif|else|try|except|export|function|async|await|del|assert|raise|throw|print)\b.*[()\[\]{}=:;].*"
     r"|[\w.\[\]'\"]+\s*(?:[-+*/|&]?=)\s*\S.*|[\w.]+\([^()]*\);?\s*$|[\])}]+[,;]?$)"
 )
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
