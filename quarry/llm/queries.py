@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import docpairs, secrets
+from quarry.llm import docpairs, handwritten, secrets
 from quarry.runtime import table
 
 
@@ -18,6 +18,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "nodes"))
 
 
+def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "nodes"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_verdicts(spark, sf_dir).select("repo", "relative_path")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_ids(table(spark, sf_dir, "nodes"))
 
@@ -29,6 +37,8 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
+    "p3_found": p3_found,
+    "p3_verdicts": p3_verdicts,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
 }
