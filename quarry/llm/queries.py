@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import docpairs, handwritten, secrets
+from quarry.llm import docpairs, handwritten, secrets, unparsable
 from quarry.runtime import table
 
 
@@ -34,6 +34,14 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented(table(spark, sf_dir, "nodes"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unparsable.unparsable(table(spark, sf_dir, "files"), table(spark, sf_dir, "nodes"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unparsable.rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "nodes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_verdicts": p3_verdicts,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
 }
 
 SQL: dict[str, str] = {}
