@@ -120,6 +120,8 @@ CODE = re.compile(
     r"^(?:.*[;{}]\s*$|(?:curl|wget|pip|npm|\$)\s.*|(?:const|let|var|return|import|from|def|class|if|for|while|elif|else|try|except|export|function|async|await|del|assert|raise|throw|print)\b.*[()\[\]{}=:;].*"
     r"|[\w.\[\]'\"]+\s*(?:[-+*/|&]?=)\s*\S.*|[\w.]+\([^()]*\);?\s*$|[\])}]+[,;]?$)"
 )
+#: A line longer than this is neither a filler nor a statement commented out; matching stays linear.
+SHORT = 300
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 HOLLOW = frozenset("this is the a an function method class constructor of for it its that procedure routine helper does do".split())
@@ -144,9 +146,9 @@ def clean(raw: str | None) -> str:
         if TAG.match(line) or SECTION.match(line) or SECTION_LINE.match(line):
             skipping = True
             continue
-        if skipping or DIRECTIVE.match(line) or FILLER.match(bare):
+        if skipping or DIRECTIVE.match(line) or len(bare) <= SHORT and FILLER.match(bare):
             continue
-        if CODE.match(line) and (was_code_comment or not line.endswith(".")):
+        if len(line) <= SHORT and CODE.match(line) and (was_code_comment or not line.endswith(".")):
             continue
         lines.append(line)
     return "\n".join(lines)
