@@ -31,7 +31,7 @@ PYTHON = re.compile(
     re.S,
 )
 PYTHON_HEAD = re.compile(r"\b(?:def|class)\b")
-PYTHON_DOC = re.compile(r"(?:[ \t]*(?:\#[^\n]*)?\r?\n)*[ \t]*([rRuU]?)(\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')", re.S)
+PYTHON_DOC = re.compile(r"(?:[ \t\r]*+(?:\#[^\n]*+)?\n)*+[ \t]*+([rRuU]?)(\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')", re.S)
 
 
 def python_docstring(text: str) -> tuple[str, int]:
