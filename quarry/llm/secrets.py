@@ -73,6 +73,7 @@ PLAIN_ID = re.compile(r"^(?:[a-z]+(?:[_\-.][a-z]+)*|[A-Z]+(?:_[A-Z]+)*|[a-z]+(?:
 HOST = re.compile(r"^[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}(?::\d+)?(?:/\S*)?$")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 REPEATED = re.compile(r"^(.)\1*$")
+SETTING = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?[\w.\-]+(?:=|:\s+)$")
 BASE64_LINE = re.compile(r"^[^A-Za-z0-9+/]*[A-Za-z0-9+/]{24,}")
 
 
@@ -157,7 +158,8 @@ def spans_of_line(line: str, following: str = "", named_before: str = "") -> lis
                 found += [m.span(2), m.span(4)]
     for a, b, quoted in candidates:
         value = line[a:b]
-        if not free(a, b) or not secret_like(value, quoted):
+        bare_value = not quoted and SETTING.match(line[:a]) and not line[b:].strip() and re.search(r"[^\w.]", value)
+        if not free(a, b) or not secret_like(value, quoted or bool(bare_value)):
             continue
         before = [m for m in names if m.end() <= a and not any(x <= m.start() < y for x, y, q in candidates if q and line[y + 1 : y + 2] not in (":", "]", ",", " ") and y < a)]
         near = before[-1].group() if before else named_before

@@ -45,7 +45,7 @@ compound: if named : suite (elif named : suite)* (else : suite)?
     | def n tparams? '(' params ')' (-> expr)? : suite | class n tparams? ('(' args ')')? : suite
     | async line | MATCH stars : NL IN caseline+ DE
 caseline: CASE casepat (, casepat?)* (if named)? : suite
-casepat: star (as n)?
+casepat: ('*' or | or) (as n)?
 withitem: expr (as target)?
 tryrest: except_+ (else : suite)? (finally : suite)? | finally : suite
 except_: except '*'? (stars (as n)?)? : suite
@@ -80,10 +80,12 @@ block: items | pairs | scalarline
 items: item+
 item: - after
 after: NL (IN block DE)? | inlineitem
-inlineitem: SUB pairs BUS | value NL (IN scalarlines DE)? | - after
+inlineitem: SUB (pairs | items) BUS | rest
 pairs: pair+
 pair: key keyrest
-keyrest: NL (IN block DE | itemsame)? | value NL (IN scalarlines DE)? | blockscalar NL
+keyrest: NL (IN block DE | itemsame)? | rest
+rest: prop+ (NL (IN block DE | itemsame)? | core) | core
+core: (scalar | flow | alias) NL (IN scalarlines DE)? | blockscalar NL
 itemsame: items
 scalarlines: scalarline+
 scalarline: value NL
@@ -178,7 +180,7 @@ TSSTMT: INTERFACE n TPARAMS (extends type (, type)*)? objtype | TYPE n TPARAMS =
 declared: function '*'? n TPARAMS params TYPEANN SEMI | TSSTMT | decl | block
 TYPEANN: (: type)?
 TSCAST: < tparam (, tparam?)* > operand
-PARAMNAME: n+
+PARAMNAME: (n | READONLY)+
 TPARAMS: (< tparam (, tparam?)* >)?
 tparam: type (= type)?
 TARGS: (< type (, type)* >)?
@@ -224,7 +226,8 @@ imember: n (. n | '(' params ')' result?)? ('|' type)* | type ('|' type)*
 decl: var (vspec | '(' (vspec? ;)* ')') | const (vspec | '(' (vspec? ;)* ')') | type_ (tspec | '(' (tspec? ;)* ')')
 vspec: n (, n)* vtype? (= exprs)?
 vtype: type
-tspec: n =? type
+tspec: n (= type | '[' tafter | type)
+tafter: ']' type | (num | ...) ']' type | n (']' type | (, n)* type ('|' type)* (, param ('|' type)*)* ']' =? type)
 block: '{' stmts '}'
 stmts: stmt? (; stmt?)*
 stmt: decl | if_ | for forhead block | switch (simpleN (; simpleN?)?)? '{' (case exprs : stmts | default : stmts)* '}' | select '{' (case simple : stmts | default : stmts)* '}'
@@ -260,7 +263,7 @@ binop: BIN | - | '+' | '*' | & | ^ | '|' | <-
 
 JAVA = """
 file: head* typedecl*
-head: package qn ; | import static? qn (. '*')? ;
+head: package qn ; | import static? n (. (n | '*'))* ;
 qn: n (. n)*
 typedecl: mods kind | ;
 kind: class n tparams? (extends type)? (implements types)? (permits types)? body | interface n tparams? (extends types)? (permits types)? body

@@ -33,8 +33,10 @@ def words(text: str) -> dict[str, str]:
 
 # --- Python -----------------------------------------------------------------------------------
 
+HOLE = r"\{(?:[^{}\n]|\{[^{}\n]*\})*\}"  # an expression in a formatted string may use its quotes again
+FORMATTED = "(?:[fFtT][rR]?|[rR][fFtT])(?:" + "|".join(rf"{q}(?!{q}{q})(?:[^{q}\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{HOLE})*{q}" for q in "\"'") + ")"
 PY_TOKEN = re.compile(
-    r"\#[^\n]*|\\\r?\n|\r?\n[ \t\f]*|(?:[rRuUbBfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + STRING + r")"
+    r"\#[^\n]*|\\\r?\n|\r?\n[ \t\f]*|" + FORMATTED + r"|(?:[rRuUbBfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + STRING + r")"
     r"|" + WORD + r"|" + NUMBER + r"[jJ]?(?:\w+)?|\.\.\.|:=|->|\*\*=|//=|>>=|<<=|[-+*/%@&|^]=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>=.,:;()\[\]{}]|[^\s]",
 )
 PY_KEYWORDS = words("pass break continue del return raise from global nonlocal import as assert yield lambda if else or and not in is for async await while try except with def class finally elif") | {
@@ -142,8 +144,9 @@ JS_TOKEN = re.compile(
     r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|<<|[-+*/%&|^~<>=.,:;()\[\]{}?!@]|[^\s]",
 )
 TS_TOKEN = re.compile(JS_TOKEN.pattern.replace(r">>>=|", "").replace(r"|>>=", "").replace("|>=", ""))
+JSX_TOKEN, TSX_TOKEN = (re.compile(p.pattern.replace("/(?![*/])", "/(?![*/>])")) for p in (JS_TOKEN, TS_TOKEN))
 JS_KEYWORDS = words("if else for while do return throw break continue switch case default try catch finally debugger function class var const let new typeof void delete await yield in instanceof this super import export extends async") | {
-    "null": "lit", "true": "lit", "false": "lit", "enum": "n",
+    "null": "lit", "true": "lit", "false": "lit",
 }
 JS_OPS = {op: op for op in "... => * - + / % | & < > = ++ -- . , : ; ( ) [ ] { } ? ! ~ @ ?.".split()} | {
     op: "BIN" for op in "=== !== == != <= >= && || ?? ** << ^".split()
@@ -186,7 +189,8 @@ TYPE_TOKENS = frozenset("n . , [ ] | & str num lit { } : ; void this typeof => (
 def script_lines(text: str, typed: bool, embedded: bool) -> list[str]:
     """Physical lines of token kinds. Parentheses of arrow parameters, type arguments of calls
     and words that are keywords only in places are told apart by what stands around them."""
-    tokens = (TS_TOKEN if typed else JS_TOKEN).findall(text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿"))
+    pattern = (TSX_TOKEN if typed else JSX_TOKEN) if embedded and "/>" in text else TS_TOKEN if typed else JS_TOKEN
+    tokens = pattern.findall(text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿"))
     kinds = [k for k in map(JS_KINDS.__getitem__, tokens) if k]
     if "=>" in kinds:
         arrows(kinds, typed)
@@ -466,6 +470,8 @@ def java_kind(t: str) -> str:
         return "\n" if t[1] == "*" and "\n" in t else ""
     if c.isdigit() or c == "." and len(t) > 1:
         return "num" if JAVA_NUMBER.fullmatch(t) else "ERR"
+    if t in ("yield", "record"):
+        return "w:" + t
     return "n" if c == "$" or c.isidentifier() else "ERR"
 
 
@@ -476,6 +482,10 @@ JAVA_TYPE = frozenset("n . , ? extends super & [ ] prim < > @".split())
 def java_lines(text: str) -> list[str]:
     kinds = [k for k in map(JAVA_KINDS.__getitem__, JAVA_TOKEN.findall(text.replace("\r\n", "\n").lstrip("﻿"))) if k]
     for i, k in enumerate(kinds):
+        if k == "w:yield":
+            kinds[i] = "yieldx" if (i and kinds[i - 1] in (";", "{", "}", ":", "->", "\n")) and following(kinds, i) in ("n", "num", "str", "char", "lit", "new", "this", "!", "-", "switch", "w:yield", "w:record") else "n"
+        elif k == "w:record":
+            kinds[i] = "RECORD" if following(kinds, i) == "n" and (not i or kinds[i - 1] in (";", "{", "}", "\n", "MOD", "static", "final", ")")) else "n"
         if k == "<" and i and kinds[i - 1] in ("n", ".", "MOD", "static", "final", "\n", "new"):
             stack = []
             for j in range(i, min(i + 80, len(kinds))):
@@ -660,6 +670,9 @@ def yaml_lines(text: str) -> list[str]:
                 prefix += "ERR "
         body, at, parts = raw[indent:], indent, []
         while re.match(r"-(?:\s|$)", body):
+            if parts:
+                levels.append((at, "SUB"))
+                parts.append("SUB")
             parts.append("-")
             step = len(body[1:]) - len(body[1:].lstrip(" ")) + 1
             body, at = body[step:], at + step

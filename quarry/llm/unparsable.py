@@ -102,7 +102,7 @@ class Checker:
             return 0
         if language in TOKENS:
             return lexers.source_line(*TOKENS[language], text, at)
-        return max(1, numbers[at] if numbers else at + 1)
+        return min(text.count("\n") + 1, max(1, numbers[at] if numbers else at + 1))
 
 
 def judged(files: DataFrame, nodes: DataFrame) -> DataFrame:
