@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import code_tokens
 from quarry.operators.graph import SYMBOLS
+from quarry.runtime import cut, spread
 
 # BM25's parameters and the constant of rank fusion.
 K1, B, EPSILON, FUSION = 1.5, 0.75, 0.25, 60
@@ -32,7 +33,7 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weight instead of a negative one. Scores are rounded to six places, ties go by doc, and only
     positive scores remain. The query side meets the postings by term; statistics of all texts
     are two one-row tables."""
-    index = postings(texts)
+    index = cut(postings(spread(texts)))  # read by the counts, the sizes and the match
     terms = index.groupBy("term").agg(F.count("*").alias("n"))
     size = texts.agg(F.count("*").alias("docs")).crossJoin(index.select("doc", "length").distinct().agg(F.sum("length").alias("total")))
     raw = terms.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))

@@ -51,6 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer parts than there are cores, as a small table
+    in one file does; larger tables are left as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends
     and a lost executor costs nothing that came before.
@@ -62,7 +70,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the constraints that its plan implied; over rounds of self-joins the
+    # optimizer would multiply them. The same rows as a fresh relation carry none.
+    session = df.sparkSession
+    fresh = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(fresh, session)
 
 
 def release(spark: SparkSession) -> None:
