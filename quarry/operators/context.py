@@ -60,11 +60,13 @@ def implementations(nodes: DataFrame) -> DataFrame:
 
 def cut_slices(lines: DataFrame, budget: int = 800) -> DataFrame:
     """L4: (repo, file_path, kept, dropped, tokens): of each file's slice lines (repo, file_path,
-    line, text) those before the budget less twenty runs out, a true prefix."""
-    run = Window.partitionBy("repo", "file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    line, text) those before the budget less twenty runs out, a true prefix. Lines with a seed are
+    cut for each (seed, repo, file_path)."""
+    keys = ["seed"] * ("seed" in lines.columns) + ["repo", "file_path"]
+    run = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     cost = lines.withColumn("cost", tokens(F.col("text"))).withColumn("used", F.sum("cost").over(run))
     fits = F.col("used") <= budget - 20
-    return cost.groupBy("repo", "file_path").agg(
+    return cost.groupBy(*keys).agg(
         F.sum(F.when(fits, 1).otherwise(0)).alias("kept"), F.sum(F.when(fits, 0).otherwise(1)).alias("dropped"), (F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)) + 10).alias("tokens")
     )
 

@@ -13,6 +13,8 @@ from quarry.runtime import cut
 # Edges that a slice follows beyond its first hop, and hops of slices and flows.
 BACKWARD, FORWARD = ("CALLS", "REFERENCES", "CONTAINS"), ("CALLS", "CALLED_BY", "DEF_USE", "REFERENCES")
 SLICE_HOPS, FLOW_HOPS = 4, 4
+# Links of one node that are joined in one part; a node with more is split by salt.
+HUB = 5000
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -39,26 +41,54 @@ def reach(links: DataFrame, seeds: DataFrame, hops: int, allowed: Callable[[int]
     return seen
 
 
+def reach_each(links: DataFrame, seeds: DataFrame, hops: int, allowed: Callable[[int], F.Column | None] = lambda hop: None) -> DataFrame:
+    """(seed, id, depth) of every node within ``hops`` of each seed: as many searches as seeds, side
+    by side. Frontier and seen are keyed by (seed, id), so the rows are those of all answers
+    together; where many seeds are near a hub, each has the hub's neighbours in its own answer."""
+    hubs = cut(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id", F.ceil(F.col("n") / HUB).alias("ways")))
+    ways = F.coalesce("ways", F.lit(1))
+    spread = cut(links.join(F.broadcast(hubs), "id", "left").select("id", "other", "kind", F.pmod(F.xxhash64("other"), ways).alias("salt")))  # at most links / HUB rows are broadcast
+    seen = front = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))
+    for hop in range(1, hops + 1):
+        rule = allowed(hop)
+        usable = spread if rule is None else spread.where(rule)
+        salted = front.join(F.broadcast(hubs), "id", "left").select("seed", "id", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("salt"))
+        found = salted.join(usable, ["id", "salt"]).select("seed", F.col("other").alias("id")).distinct()
+        front = cut(found.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)  # a few checkpoints side by side, none written again
+    return seen
+
+
 def ego(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(id, depth) around a set of nodes, over edges of any kind both ways."""
     return reach(steps(edges, "both"), seeds, hops)
 
 
-def sliced(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, backward: bool = True) -> DataFrame:
+def ego_each(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, id, depth): the ego graph of each centre on its own."""
+    return reach_each(steps(edges, "both"), centres, hops)
+
+
+def sliced(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, backward: bool = True, each: bool = False) -> DataFrame:
     """(id, depth) of a program slice from a set of symbols: any edge on the first hop, then calls,
-    references and (backward) containment, up to four hops; files are never entered."""
+    references and (backward) containment, up to four hops; files are never entered. With ``each``
+    (seed, id, depth), a slice of every symbol on its own."""
     kinds = BACKWARD if backward else FORWARD
     inside = nodes.where("kind <> 'FILE'").select(F.col("id").alias("other"))
     links = cut(steps(edges, "in" if backward else "out").join(inside, "other", "left_semi"))
-    return reach(links, seeds, SLICE_HOPS, lambda hop: None if hop == 1 else F.col("kind").isin(*kinds))
+    return (reach_each if each else reach)(links, seeds, SLICE_HOPS, lambda hop: None if hop == 1 else F.col("kind").isin(*kinds))
 
 
 def slice_lines(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(repo, file_path, line, text) of a slice: the lines of its nodes' bodies, each line of a
-    file once, from the node nearest to the seeds. Bodies may be of any length."""
+    file once, from the node nearest to the seeds. Bodies may be of any length. Slices with a seed
+    give (seed, repo, file_path, line, text), each its own lines."""
+    keys = ["seed"] * ("seed" in found.columns) + ["repo", "file_path"]
     parts = found.join(nodes.where("full_body is not null and start_line is not null").select("id", "repo", "file_path", "start_line", "full_body"), "id")
-    lines = parts.select("repo", "file_path", "depth", "id", "start_line", F.posexplode(F.split("full_body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("start_line") + F.col("at"))
-    return lines.groupBy("repo", "file_path", "line").agg(F.min(F.struct("depth", "id", "text")).alias("first")).select("repo", "file_path", "line", F.col("first.text").alias("text"))
+    lines = parts.select(*keys, "depth", "id", "start_line", F.posexplode(F.split("full_body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("start_line") + F.col("at"))
+    return lines.groupBy(*keys, "line").agg(F.min(F.struct("depth", "id", "text")).alias("first")).select(*keys, "line", F.col("first.text").alias("text"))
 
 
 def changed_symbols(nodes: DataFrame, changed: DataFrame) -> DataFrame:
@@ -89,17 +119,19 @@ def delta_callers(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Dat
     return nodes.join(calling, "id", "left_semi").join(changed, ["repo", "file_path"], "left_anti")
 
 
-def flow_layers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, depth) over calls both ways, up to four layers."""
-    return reach(steps(edges.where("kind = 'CALLS'"), "both"), seeds, FLOW_HOPS)
+def flow_layers(edges: DataFrame, seeds: DataFrame, each: bool = False) -> DataFrame:
+    """(id, depth) over calls both ways, up to four layers; with ``each`` (seed, id, depth)."""
+    return (reach_each if each else reach)(steps(edges.where("kind = 'CALLS'"), "both"), seeds, FLOW_HOPS)
 
 
 def flow_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, layer): edges of any kind between consecutive layers."""
-    a = layers.select(F.col("id").alias("source_id"), F.col("depth").alias("from_layer"))
-    b = layers.select(F.col("id").alias("target_id"), F.col("depth").alias("to_layer"))
-    joined = edges.join(a, "source_id").join(b, "target_id").where(F.abs(F.col("from_layer") - F.col("to_layer")) == 1)
-    return joined.select("source_id", "target_id", "kind", F.least("from_layer", "to_layer").alias("layer"))
+    """(source_id, target_id, kind, layer): edges of any kind between consecutive layers; layers
+    with a seed give (seed, source_id, target_id, kind, layer)."""
+    seed = ["seed"] * ("seed" in layers.columns)
+    a = layers.select(*seed, F.col("id").alias("source_id"), F.col("depth").alias("from_layer"))
+    b = layers.select(*seed, F.col("id").alias("target_id"), F.col("depth").alias("to_layer"))
+    joined = edges.join(a, "source_id").join(b, [*seed, "target_id"]).where(F.abs(F.col("from_layer") - F.col("to_layer")) == 1)
+    return joined.select(*seed, "source_id", "target_id", "kind", F.least("from_layer", "to_layer").alias("layer"))
 
 
 def first_of(frame: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

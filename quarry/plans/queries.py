@@ -1,7 +1,8 @@
 """Registered queries of the core operators over the given tables.
 
 Lookups that the operators answer for one name, file or node are asked for all of them at once.
-Searches ask for every row whose id is divisible by a hundred, traversals start from that set."""
+Searches ask for every row whose id is divisible by a hundred, traversals start from that set:
+as one set, or, in the queries that end in _each, from each of its nodes on its own."""
 
 from __future__ import annotations
 
@@ -267,9 +268,14 @@ def q_ego(spark: SparkSession, d: str) -> DataFrame:
     return traverse.ego(edges(spark, d), hundredth(nodes(spark, d, "id")))
 
 
-def sliced(spark: SparkSession, d: str, backward: bool) -> DataFrame:
+@query
+def q_ego_each(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.ego_each(edges(spark, d), hundredth(nodes(spark, d, "id")))
+
+
+def sliced(spark: SparkSession, d: str, backward: bool, each: bool = False) -> DataFrame:
     n = nodes(spark, d, "id", "kind")
-    return traverse.sliced(n, edges(spark, d), hundredth(n).where("kind in ('FUNCTION', 'METHOD', 'CLASS')"), backward)
+    return traverse.sliced(n, edges(spark, d), hundredth(n).where("kind in ('FUNCTION', 'METHOD', 'CLASS')"), backward, each)
 
 
 @query
@@ -282,6 +288,16 @@ def q_forward_slice(spark: SparkSession, d: str) -> DataFrame:
     return sliced(spark, d, False)
 
 
+@query
+def q_backward_slice_each(spark: SparkSession, d: str) -> DataFrame:
+    return sliced(spark, d, True, each=True)
+
+
+@query
+def q_forward_slice_each(spark: SparkSession, d: str) -> DataFrame:
+    return sliced(spark, d, False, each=True)
+
+
 @query
 def q_slice_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = traverse.slice_lines(nodes(spark, d, "id", "repo", "file_path", "start_line", "full_body"), sliced(spark, d, False))
@@ -293,6 +309,20 @@ def q_slice_l4(spark: SparkSession, d: str) -> DataFrame:
     return context.cut_slices(traverse.slice_lines(nodes(spark, d, "id", "repo", "file_path", "start_line", "full_body"), sliced(spark, d, False)))
 
 
+def lines_each(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.slice_lines(nodes(spark, d, "id", "repo", "file_path", "start_line", "full_body"), sliced(spark, d, False, each=True))
+
+
+@query
+def q_slice_lines_each(spark: SparkSession, d: str) -> DataFrame:
+    return lines_each(spark, d).groupBy("seed", "repo", "file_path").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars"), F.min("line").alias("first_line"))
+
+
+@query
+def q_slice_l4_each(spark: SparkSession, d: str) -> DataFrame:
+    return context.cut_slices(lines_each(spark, d))
+
+
 @query
 def q_impact(spark: SparkSession, d: str) -> DataFrame:
     return traverse.impacted(nodes(spark, d, "id", "kind", "repo", "file_path"), edges(spark, d), changed(spark, d))
@@ -327,6 +357,17 @@ def q_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     return traverse.flow_edges(e, layers).groupBy("kind", "layer").agg(F.count("*").alias("n"))
 
 
+@query
+def q_flow_layers_each(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.flow_layers(edges(spark, d), hundredth(nodes(spark, d, "id", "kind")).where("kind = 'FUNCTION'"), each=True)
+
+
+@query
+def q_flow_edges_each(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return traverse.flow_edges(e, traverse.flow_layers(e, hundredth(nodes(spark, d, "id", "kind")).where("kind = 'FUNCTION'"), each=True))
+
+
 # --- analytics ---
 
 
