@@ -60,6 +60,15 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"), F.count("*").alias("neighbours"))
 
 
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """(id, other, kind, outgoing, incoming): the neighbours themselves, one row for each kind of
+    edge that leads to (outgoing) or comes from them (incoming). Distinct ``other`` over any choice
+    of kinds and ways are a node's neighbours; one that points to itself is its own."""
+    out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "kind", F.lit(True).alias("o"), F.lit(False).alias("i"))
+    back = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "kind", F.lit(False).alias("o"), F.lit(True).alias("i"))
+    return out.unionByName(back).groupBy("id", "other", "kind").agg(F.max("o").alias("outgoing"), F.max("i").alias("incoming"))
+
+
 def resolved_symbols(nodes: DataFrame) -> DataFrame:
     """(name, id, kind) that a bare name stands for: functions before classes before methods, then
     the smallest id. Aggregation rather than a window, so a common name is combined map-side."""
@@ -97,6 +106,15 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return files.join(out, "id", "left").join(back, "id", "left").select("id", F.coalesce("dependencies", F.lit(0)).alias("dependencies"), F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
+def dependency_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, other, way): what each file imports (way ``dependency``) and what imports it (way
+    ``dependent``), each once."""
+    links = edges.where("kind = 'IMPORTS'").select("source_id", "target_id").distinct()
+    out = links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.lit("dependency").alias("way"))
+    back = links.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), F.lit("dependent").alias("way"))
+    return out.unionByName(back).join(nodes.where("kind = 'FILE'").select("id"), "id", "left_semi")
+
+
 def class_hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, bases, subclasses): names one INHERITS edge up and down, sorted and joined."""
     links = edges.where("kind = 'INHERITS'")

@@ -218,11 +218,39 @@ def descendant_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return forest(edges, nodes).select("kind", "node_id", F.expr("(exit - entry - 1) div 2").alias("descendants"))
 
 
+def descendant_totals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, node_id, descendants): how many rows ``descendants`` has for each node. Off cycles
+    entry and exit tell; a node on a cycle has all other nodes on and below its cycle."""
+    rows = cut(forest(edges, nodes).select("kind", "node_id", "entry", "exit", "cycle_id", "on_cycle"))
+    round_about = rows.where("cycle_id is not null").groupBy("kind", "cycle_id").agg((F.count("*") - 1).alias("others"))
+    below = F.expr("(exit - entry - 1) div 2")
+    return rows.join(round_about, ["kind", "cycle_id"], "left").select("kind", "node_id", F.when(F.col("on_cycle"), F.col("others")).otherwise(below).alias("descendants"))
+
+
+def descendants(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, node_id, descendant_id): every node below each node, each pair once, never the node
+    itself. The members of a cycle reach each other and all that hangs below any of them. Pairs
+    come from the finished paths, so the work is that of the output; only cycles are joined."""
+    rows = cut(forest(edges, nodes))
+    walked = cut(climbed(rows))
+    pairs = walked.select("kind", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"), F.col("node_id").alias("descendant_id"))
+    placed = rows.where("cycle_id is not null").select("kind", "node_id", "cycle_id").join(walked, ["kind", "node_id"])
+    members = rows.where("on_cycle").select("kind", "cycle_id", F.col("node_id").alias("member"))
+    # The path begins at one member; the others reach the node around the cycle.
+    around = placed.join(members, ["kind", "cycle_id"]).where(F.col("member") != F.col("path")[0]).select("kind", F.col("member").alias("node_id"), F.col("node_id").alias("descendant_id"))
+    return pairs.unionByName(around)
+
+
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(kind, node_id, path): ids from the topmost node down to the node itself; for nodes on or
     below a cycle the path begins at the cycle's node above it. Arrays double in each round, so
     the rounds are logarithmic in the depth and the work is that of the output."""
-    known = forest(edges, nodes).select("kind", "node_id", F.when(F.col("on_cycle"), F.lit(None).cast("long")).otherwise(F.col("parent_id")).alias("far"))
+    return climbed(forest(edges, nodes))
+
+
+def climbed(rows: DataFrame) -> DataFrame:
+    """The paths of a forest's rows."""
+    known = rows.select("kind", "node_id", F.when(F.col("on_cycle"), F.lit(None).cast("long")).otherwise(F.col("parent_id")).alias("far"))
     look = cut(known.withColumn("path", F.array("node_id")))
     while not look.where("far is not null").isEmpty():
         above = look.select("kind", F.col("node_id").alias("far"), F.col("far").alias("farther"), F.col("path").alias("upper"))

@@ -59,7 +59,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendant_counts(table(spark, d, "edges"), table(spark, d, "nodes"))
+    return hierarchy.descendants(table(spark, d, "edges"), table(spark, d, "nodes"))
+
+
+@query
+def p2_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendant_totals(table(spark, d, "edges"), table(spark, d, "nodes"))
 
 
 @query
@@ -144,6 +149,11 @@ def q_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(edges(spark, d))
 
 
+@query
+def q_neighbor_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbour_pairs(edges(spark, d))
+
+
 @query
 def q_resolve_symbol(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolved_symbols(nodes(spark, d, "id", "kind", "name"))
@@ -255,6 +265,11 @@ def q_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.file_dependencies(nodes(spark, d, "id", "kind"), edges(spark, d))
 
 
+@query
+def q_dependent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.dependency_pairs(nodes(spark, d, "id", "kind"), edges(spark, d))
+
+
 @query
 def q_class_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return graph.class_hierarchy(nodes(spark, d, "id", "kind", "name"), edges(spark, d))
