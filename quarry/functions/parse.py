@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,7 +112,14 @@ def script_chunks(text: str, typed: bool) -> list[tuple]:
     """Classes, functions, arrow constants, methods and (typed) interfaces, found on a copy in which
     strings, comments and regular expressions are blanked, and delimited by matching braces."""
     text = text.replace("\r\n", "\n")
-    bare = SCRIPT_TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    documentation: list[tuple[int, int]] = []
+
+    def blank(m: re.Match) -> str:
+        if len(m.group()) > 4 and m.group().startswith("/**") and m.group().endswith("*/"):
+            documentation.append(m.span())
+        return re.sub(r"[^\n]", " ", m.group())
+
+    bare = SCRIPT_TOKEN.sub(blank, text)
     lines = text.split("\n")
     out, classes = [], []
     for m in SCRIPT_HEAD.finditer(bare):
@@ -140,7 +148,7 @@ def script_chunks(text: str, typed: bool) -> list[tuple]:
         if m.group("iname") and not typed:
             continue
         signature = text[start:opening].strip().removesuffix("=>").strip()
-        doc = leading_comment(text, opening + 1, start)
+        doc = leading_comment(text, opening + 1, start, documentation)
         kind = "CLASS" if m.group("cname") else "INTERFACE" if m.group("iname") else "METHOD" if m.group("mname") else "FUNCTION"
         skeleton = signature + ((" {\n    /** " + doc + " */\n    ...") if doc else " {\n    ...") if kind != "INTERFACE" else signature + " {\n    ..."
         out.append(chunk(kind, name, lines, first, last, scope if kind == "METHOD" else None, signature, doc, skeleton))
@@ -149,14 +157,18 @@ def script_chunks(text: str, typed: bool) -> list[tuple]:
     return out
 
 
-def leading_comment(text: str, inside: int, before: int) -> str:
-    """The first comment of a body, else the block comment right before it, without its marks."""
+def leading_comment(text: str, inside: int, before: int, documentation: list[tuple[int, int]]) -> str:
+    """The first comment of a body, else the block comment right before it, without its marks.
+    ``documentation`` has the spans of the text's documentation comments in order."""
     m = re.match(r"\s*(?:/\*\*(.*?)\*/|//([^\n]*))", text[inside:], re.S)
-    if not m:
-        m = re.search(r"/\*\*((?:(?!\*/).)*)\*/\s*(?:export\s+)?(?:default\s+)?$", text[max(0, before - 4000) : before], re.S)
-    if not m:
-        return ""
-    return "\n".join(x.strip().lstrip("*").strip() for x in next(g for g in m.groups() if g is not None).strip().split("\n")).strip()
+    if m:
+        found = next(g for g in m.groups() if g is not None)
+    else:
+        last = bisect_right(documentation, before, key=lambda span: span[1]) - 1
+        if last < 0 or not re.fullmatch(r"\s*(?:export\s+)?(?:default\s+)?", text[documentation[last][1] : before]):
+            return ""
+        found = text[documentation[last][0] + 3 : documentation[last][1] - 2]
+    return "\n".join(x.strip().lstrip("*").strip() for x in found.strip().split("\n")).strip()
 
 
 def chunks_of(files: DataFrame) -> DataFrame:
