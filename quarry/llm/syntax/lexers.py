@@ -215,6 +215,7 @@ def following(kinds: list[str], i: int) -> str:
 def arrows(kinds: list[str], typed: bool) -> None:
     """Mark the parentheses whose closing one an arrow follows, with a return type between them
     in typed code."""
+    ends = closers(kinds) if typed else {}
     stack: list[int] = []
     for i, k in enumerate(kinds):
         if k == "(":
@@ -222,26 +223,45 @@ def arrows(kinds: list[str], typed: bool) -> None:
         elif k == ")" and stack:
             at = stack.pop()
             nxt = following(kinds, i)
-            if nxt == "=>" or typed and nxt == ":" and returns_arrow(kinds, i + 1):
+            if nxt == "=>" or typed and nxt == ":" and returns_arrow(kinds, i + 1, ends):
                 before = kinds[at - 1] if at else ""
                 if before not in ("n", ")", "]") or before == "async":
                     kinds[at], kinds[i] = "(A", ")A"
 
 
-def returns_arrow(kinds: list[str], i: int) -> bool:
-    depth = 0
-    for j in range(i + 1, min(i + 60, len(kinds))):
+def closers(kinds: list[str]) -> dict[int, int]:
+    """Index of the closing bracket of each bracket that has one."""
+    ends: dict[int, int] = {}
+    stack: list[int] = []
+    for i, k in enumerate(kinds):
+        if k in ("(", "(A", "[", "{"):
+            stack.append(i)
+        elif k in (")", ")A", "]", "}") and stack:
+            ends[stack.pop()] = i
+    return ends
+
+
+def returns_arrow(kinds: list[str], i: int, ends: dict[int, int]) -> bool:
+    """Whether a return type follows the colon at ``i`` and then an arrow; what stands in brackets
+    is passed over, however long."""
+    depth, j = 0, i + 1
+    while j < len(kinds):
         k = kinds[j]
-        if k in ("(", "[", "{", "<"):
+        if k in ("(", "(A", "[", "{"):
+            if j not in ends:
+                return False
+            j = ends[j]
+        elif k == "<":
             depth += 1
-        elif k in (")", "]", "}", ">"):
+        elif k in (")", ")A", "]", "}", ">"):
             depth -= 1
             if depth < 0:
                 return False
         elif depth == 0 and k == "=>":
             return True
-        elif depth == 0 and (k in (";", "=", ",", "EOF") or k not in TYPE_TOKENS and k != "\n"):
+        elif k == ";" or depth == 0 and (k in ("=", ",", "EOF") or k not in TYPE_TOKENS and k != "\n"):
             return False
+        j += 1
     return False
 
 
@@ -311,41 +331,41 @@ def contextual(kinds: list[str], typed: bool) -> None:
 def type_arguments(kinds: list[str]) -> None:
     """Mark ``<…>`` after a name as type arguments of a call where only type tokens stand inside
     and a call, template or end of expression follows."""
-    for i, k in enumerate(kinds):
-        if k != "<" or not i or kinds[i - 1] not in ("n", ")", "]"):
-            continue
-        depth, opened = 0, []
-        for j in range(i, min(i + 80, len(kinds))):
-            t = kinds[j]
-            if t == "<":
-                depth += 1
-                opened.append(j)
-            elif t == ">":
-                depth -= 1
-                if depth == 0:
-                    if kinds[i - 1] == "n" and following(kinds, j) in ("(", "tmpl") and not declares(kinds, i):
-                        kinds[i], kinds[j] = "<T", ">T"
-                    break
-            elif t not in TYPE_TOKENS and t != "\n" and t not in ("(A", ")A"):
-                break
-
-
-def declares(kinds: list[str], i: int) -> bool:
-    """Whether the name before ``<`` is that of a function, method or type being declared."""
-    j = i - 2
-    if j >= 0 and kinds[j] in ("function", "*", "INTERFACE", "TYPE", "class"):
+    angles: dict[int, int] = {}
+    stack: list[int] = []
+    for j, t in enumerate(kinds):
+        if t in ("<", "(", "(A", "[", "{"):
+            stack.append(j)
+        elif t == ">":
+            if stack and kinds[stack[-1]] == "<":
+                angles[stack.pop()] = j
+        elif t in (")", ")A", "]", "}"):
+            while stack and kinds[stack[-1]] == "<":
+                stack.pop()
+            if stack:
+                stack.pop()
+        elif t == ";":
+            while stack and kinds[stack[-1]] == "<":
+                stack.pop()
+        elif t not in TYPE_TOKENS and t != "\n":
+            stack.clear()
+    ends = closers(kinds) if angles else {}
+    for i, j in sorted(angles.items()):
+        if i and kinds[i - 1] == "n" and following(kinds, j) in ("(", "tmpl") and not declares(kinds, i, j, ends):
+            kinds[i], kinds[j] = "<T", ">T"
+
+
+def declares(kinds: list[str], i: int, j: int, ends: dict[int, int]) -> bool:
+    """Whether the name before ``<`` at ``i``, closed at ``j``, is that of a function, method or
+    type being declared."""
+    if i >= 2 and kinds[i - 2] in ("function", "*", "INTERFACE", "TYPE", "class"):
         return True
-    depth = 0
-    for j in range(i, min(i + 200, len(kinds))):  # a method: name<T>(…) { or name<T>(…): type {
-        t = kinds[j]
-        if t in ("(", "(A"):
-            depth += 1
-        elif t in (")", ")A"):
-            depth -= 1
-            if depth == 0:
-                nxt = following(kinds, j)
-                return kinds[i - 2 : i - 1] != ["."] and (nxt == "{" or nxt == ":") and (i < 2 or kinds[i - 2] in ("\n", "{", "}", ";", "async", "n"))
-    return False
+    at = j + 1  # a method: name<T>(…) { or name<T>(…): type {
+    while at < len(kinds) and kinds[at] == "\n":
+        at += 1
+    if at not in ends:
+        return False
+    return kinds[i - 2 : i - 1] != ["."] and following(kinds, ends[at]) in ("{", ":") and (i < 2 or kinds[i - 2] in ("\n", "{", "}", ";", "async", "n"))
 
 
 def markup(kinds: list[str]) -> None:
@@ -616,22 +636,34 @@ def flow(kinds: str, text: str) -> tuple[str, int]:
     return kinds + " ".join(parts), depth
 
 
+YAML_REST = {'"': re.compile(r'(?:[^"\\]|\\(?:.|$))*+"'), "'": re.compile(r"(?:[^']|'')*+'")}
+YAML_TAGS = re.compile(r"(?:[&!]\S*\s+)*")
+
+
+def open_quote(value: str) -> str:
+    """The quote of a scalar that begins in a value and does not end on its line, or nothing."""
+    value = value.strip()
+    value = value[YAML_TAGS.match(value).end() :]
+    return value[0] if value[:1] in YAML_REST and not YAML_REST[value[0]].match(value, 1) else ""
+
+
 def yaml_lines(text: str) -> list[str]:
     """Lines of kinds: IN and DE for deeper and shallower blocks, SUB and BUS around the pairs of
     an item that begin on the line of its dash, NL at line ends. A document marker becomes DOC."""
     out: list[str] = []
     levels: list[tuple[int, str]] = [(0, "IN")]
-    pending_flow, literal = 0, -1
+    pending_flow, literal, opened = 0, -1, 0
     lines = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿").split("\n")
     quote = ""
     for raw in lines:
         stripped = raw.strip()
         if quote:  # a quoted scalar over several lines
-            if re.search(r'(?<!\\)"\s*(?:\#.*)?$' if quote == '"' else r"'\s*(?:\#.*)?$", raw):
+            m = YAML_REST[quote].match(raw)
+            if m:
                 quote = ""
-                out.append("str NL")
+                out.append("str NL" if re.fullmatch(r"\s*|\s+\#.*", raw[m.end() :]) else "ERR NL")
             else:
-                out.append("")
+                out.append("ERR" if re.match(r"(?:---|\.\.\.)(?:\s|$)", raw) else "")
             continue
         indent = len(raw) - len(raw.lstrip(" "))
         if literal >= 0:
@@ -689,10 +721,9 @@ def yaml_lines(text: str) -> list[str]:
                 literal = levels[-1][0]
             else:
                 kinds, depth = yaml_value(value)
-                v = value.strip()
-                if kinds.endswith("ERR") and v[:1] in "\"'" and not re.search(r"(?<!\\)" + v[0], v[1:]) and any(re.search(r"(?<!\\)" + v[0], x) for x in lines[len(out) + 1 : len(out) + 40]):
-                    quote = v[0]
-                    out.append(prefix + " ".join(parts + [key_kind]))
+                if kinds.endswith("ERR") and open_quote(value):
+                    quote, opened = open_quote(value), len(out)
+                    out.append(prefix + " ".join([*parts, key_kind, *kinds.split()[:-1]]))
                     continue
                 parts += [key_kind, kinds] if kinds else [key_kind]
                 if depth > 0:
@@ -704,6 +735,10 @@ def yaml_lines(text: str) -> list[str]:
             literal = levels[-1][0]
         else:
             kinds, depth = yaml_value(rest)
+            if kinds.endswith("ERR") and open_quote(rest):
+                quote, opened = open_quote(rest), len(out)
+                out.append(prefix + " ".join([*parts, *kinds.split()[:-1]]))
+                continue
             if kinds:
                 parts.append(kinds)
             if depth > 0:
@@ -711,5 +746,7 @@ def yaml_lines(text: str) -> list[str]:
             else:
                 parts.append("NL")
         out.append(prefix + " ".join(parts))
+    if quote:
+        out[opened] += " ERR"
     out.append(("ERR " if pending_flow or quote else "") + "".join("DE " if k == "IN" else "BUS " for _, k in levels[:0:-1]) + "EOF")
     return out
