@@ -29,6 +29,7 @@ KEYWORDS = (
     "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "sk_live_", "sk_test_",
     "rk_live_", "aiza", "eyj", "npm_", "pypi-", "sg.", "hooks.slack", "_pat_", "_srv_", "://", "dsn",
     "account_key", "accountkey", "connectionstring", "connection_string", "encryption_key", "signing_key",
+    "_live_", "_test_", "_prod_", "_key_", "_tok_", "pass", "account-key", "signingkey", "signing-key", "encryptionkey", "encryption-key", "private_key", "privatekey", "private-key", "--user",
 )
 
 # Formats that issuers document or that follow their pattern.
@@ -77,6 +78,20 @@ SETTING = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?[\w.\-]+(?:=|:\s+)$")
 BASE64_LINE = re.compile(r"^[^A-Za-z0-9+/]*[A-Za-z0-9+/]{24,}")
 
 
+KEY_MARKS = re.compile(r"^(?:(?://|#|\*)\s+)?[\s\"'`+,\\]*")
+KEY_HEADER = re.compile(r"[A-Z][A-Za-z\-]*:(?:\s|$)")
+
+
+def key_body(text: str) -> bool:
+    """Whether base64 follows the first line of a private key, past header lines, quotes and signs
+    that join literals."""
+    for line in re.split(r"\n|(?:\\r)?\\n", text):
+        line = line[KEY_MARKS.match(line).end() :].rstrip("\"'`+,\\ \t\r")
+        if line and not KEY_HEADER.match(line):
+            return bool(BASE64_LINE.match(line)) and not placeholder(line)
+    return False
+
+
 def entropy(value: str) -> float:
     """Shannon entropy of the characters in bits."""
     n = len(value)
@@ -104,7 +119,7 @@ def secret_like(value: str, loose: bool) -> bool:
     classes. Identifiers, hosts, paths and UUIDs are never taken. ``loose`` is for values that
     stand in quotes."""
     n = len(value)
-    if n < 8 or n > 4096 or placeholder(value) or any(c.isspace() for c in value):
+    if n < 8 or placeholder(value) or any(c.isspace() for c in value):
         return False
     if PLAIN_ID.match(value) or HOST.match(value) or UUID.match(value) or value[0] in "/.$<{(" or "://" in value:
         return False
@@ -119,14 +134,15 @@ def secret_like(value: str, loose: bool) -> bool:
 def spans_of_line(line: str, following: str = "", named_before: str = "") -> list[tuple[int, int]]:
     """Start and end of every credential value that begins on ``line``.
 
-    ``following`` is the next line (a private key must be followed by base64), ``named_before``
-    the credential's name when an assignment on the line before was left open."""
+    ``following`` is what a private key's first line is followed by (it must be base64, which may
+    come after headers), ``named_before`` the credential's name when an assignment on the line
+    before was left open."""
     found: list[tuple[int, int]] = []
     free = lambda a, b: not any(a < y and x < b for x, y in found)
     for m in PRIVATE_KEY.finditer(line):
         rest = line[m.end() :]
-        body = rest.replace("\\n", "").strip() or following.strip()
-        if BASE64_LINE.match(body) and not placeholder(body):
+        body = rest.replace("\\n", "").strip()
+        if BASE64_LINE.match(body) and not placeholder(body) or key_body(rest + "\n" + following):
             found.append(m.span())
     for m in ISSUER.finditer(line):
         if not placeholder(m.group().split("_")[-1].split("-")[-1]) and entropy(m.group()) > 2.8:
@@ -214,8 +230,8 @@ class Scanner:
             end = text.find("\n", start)
             end = len(text) if end < 0 else end
             following = ""
-            if end < len(text):
-                stop = text.find("\n", end + 1)
+            if end < len(text) and PRIVATE_KEY.search(text, start, end):
+                stop = text.find("-----", end)  # the key's end, or the next one's beginning
                 following = text[end + 1 : len(text) if stop < 0 else stop]
             name = ""
             if start:
