@@ -1,13 +1,6 @@
-"""Notices and documentation in comments of any length."""
+"""Documentation in comments of any length."""
 
 from quarry.functions import parse
-from quarry.llm import handwritten
-
-
-def test_a_notice_below_a_long_licence():
-    licence = "".join(f" * Line {i} of the terms under which this text may be used.\n" for i in range(200))
-    assert handwritten.notice(f"/*\n{licence} * Code generated by protoc. DO NOT EDIT.\n */\nint a;\n") == "generated"
-    assert handwritten.notice(f"/*\n{licence} */\nint a;\n") == ""
 
 
 def test_a_documentation_comment_longer_than_any_window():
