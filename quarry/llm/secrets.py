@@ -2,7 +2,8 @@
 
 Method: an Aho-Corasick automaton over key words picks the lines worth looking at; on those,
 issuer formats are matched by regular expression, JSON web tokens are checked by decoding their
-header, private keys by the base64 line that follows, and values that carry no issuer format by
+header, private keys by the base64 line that follows, GitHub's and npm's check digits confirm a
+token, and values that carry no issuer format by
 the name they are bound to and their character structure. Matches are replaced by placeholders
 of the same length and alphabet, so the text still parses.
 """
@@ -13,6 +14,7 @@ import base64
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -92,6 +94,46 @@ def key_body(text: str) -> bool:
     return False
 
 
+BREAK = re.compile(r"\n|(?:\\r)?\\n")
+BASE64 = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+
+
+def key_end(text: str, at: int) -> int:
+    """Offset at which the body of a private key ends whose BEGIN mark ends at ``at``: before its END
+    mark, or after the last line that is base64. Code that follows a key cut short is no part of it."""
+    begin = last = at
+    while at < len(text):
+        m = BREAK.search(text, at)
+        stop = m.start() if m else len(text)
+        mark = text.find("-----END", at, stop)
+        if mark >= 0:
+            return mark
+        line = text[at:stop]
+        core = line[KEY_MARKS.match(line).end() :].rstrip("\"'`+,\\ \t\r")
+        if BASE64.fullmatch(core) and (len(core) >= 24 or last > begin and (core[-1] == "=" or sum(bool(re.search(x, core)) for x in ("[a-z]", "[A-Z]", "[0-9]")) == 3)):
+            last = stop
+        elif core and not KEY_HEADER.match(core):
+            break
+        at = m.end() if m else len(text)
+    return last
+
+
+DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+
+
+def check_digits(value: str) -> bool | None:
+    """Whether the check digits of a value agree: the last six of a GitHub or npm token are the CRC32 of
+    the thirty before them, in base 62. Formats without documented check digits give None."""
+    m = CHECKED.fullmatch(value)
+    if not m:
+        return None
+    number = 0
+    for c in m.group(2):
+        number = number * 62 + DIGITS62.index(c)
+    return number == zlib.crc32(m.group(1).encode())
+
+
 def entropy(value: str) -> float:
     """Shannon entropy of the characters in bits."""
     n = len(value)
@@ -145,7 +187,7 @@ def spans_of_line(line: str, following: str = "", named_before: str = "") -> lis
         if BASE64_LINE.match(body) and not placeholder(body) or key_body(rest + "\n" + following):
             found.append(m.span())
     for m in ISSUER.finditer(line):
-        if not placeholder(m.group().split("_")[-1].split("-")[-1]) and entropy(m.group()) > 2.8:
+        if check_digits(m.group()) or not placeholder(m.group().split("_")[-1].split("-")[-1]) and entropy(m.group()) > 2.8:
             found.append(m.span())
     for m in WEB_TOKEN.finditer(line):
         if free(*m.span()) and web_token(m.group()):
@@ -184,8 +226,8 @@ def spans_of_line(line: str, following: str = "", named_before: str = "") -> lis
             continue
         if near and BENIGN_NAME.search(near) and not KEY_NAME.search(near) and near not in ("user", "name"):
             continue
-        call = "Client(" in line[max(0, a - 40) : a] and (entropy(value) >= 3.0 and len(value) >= 12)
-        close = [m for m in keyed if -80 <= m.end() - a <= 0 and ";" not in line[m.end() : a]]
+        call = "Client(" in line[line.rfind(";", 0, a) + 1 : a] and (entropy(value) >= 3.0 and len(value) >= 12)
+        close = [m for m in keyed if m.end() <= a and ";" not in line[m.end() : a]]
         trailing = [m for m in keyed if m.start() >= b and comment and m.start() > comment.start() and not any(BENIGN_NAME.search(x.group()) for x in before[-1:])]
         opened = named_before and not keyed
         if not quoted and not (comment and comment.start() < a) and not re.search(r"[:=]\s*$", line[:a]):
@@ -244,34 +286,43 @@ class Scanner:
                 out.append((line_no, start + a, start + b))
         return out
 
-    def redact(self, text: str | None) -> str | None:
-        """The text with each credential masked by the same number of characters of the same
-        classes; of a private key the base64 lines are masked. Null stays null."""
+    def masked(self, text: str | None) -> tuple[str | None, int]:
+        """(text, credentials): the text with each credential masked by as many characters of the same
+        alphabet; of a private key its base64 lines. Null stays null."""
         if not text:
-            return text
-        parts, at = [], 0
-        for _, start, end in self.scan(text):
+            return text, 0
+        parts, at, found = [], 0, self.scan(text)
+        for _, start, end in found:
             if start < at:
                 continue
             if text.startswith("-----BEGIN", start):
-                stop = text.find("-----END", end)
-                start, end = end, len(text) if stop < 0 else stop
-            parts += [text[at:start], mask(text[start:end])]
+                start, end = end, key_end(text, end)
+                parts += [text[at:start], LETTERS.sub(like, text[start:end])]
+            else:
+                parts += [text[at:start], mask(text[start:end])]
             at = end
-        return "".join(parts) + text[at:]
+        return "".join(parts) + text[at:], len(found)
+
+    def redact(self, text: str | None) -> str | None:
+        return self.masked(text)[0]
 
 
-ESCAPES = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[A-Z]+|[a-z]+|[0-9]+")
+LETTERS = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[A-Z]+|[a-z]+|[0-9]+", re.S)
+MARKS = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[^\w.\-=\\]", re.S)
 
 
-def mask(value: str) -> str:
-    """Same length, same alphabet: capitals to X, letters to x, digits to 0; escapes stay."""
+def like(m: re.Match, letter: str = "x") -> str:
+    s = m.group()
+    return s if s[0] == "\\" else ("0" if s[0].isdigit() else letter.upper() if s[0].isupper() else letter) * len(s)
 
-    def one(m: re.Match) -> str:
-        s = m.group()
-        return s if s[0] == "\\" else ("0" if s[0].isdigit() else "X" if s[0].isupper() else "x") * len(s)
 
-    return ESCAPES.sub(one, value)
+def mask(value: str) -> str:
+    """As many characters of the same alphabet: capitals to X, letters to x, digits to 0, or to A, a
+    and 0 where all are hexadecimal; marks to ``+`` in base64 and to ``-`` elsewhere. Escapes and the
+    marks that part a value (``. - _ =``) stay."""
+    letter = "a" if re.fullmatch(r"[0-9a-fA-F\-]+", value) else "x"
+    mark = "+" if re.fullmatch(r"[A-Za-z0-9+/]+=*", value) else "-"
+    return MARKS.sub(lambda m: m.group() if m.group()[0] == "\\" else mark, LETTERS.sub(lambda m: like(m, letter), value))
 
 
 FIELDS = ("full_body", "skeleton")
@@ -310,9 +361,9 @@ def redacted(nodes: DataFrame) -> DataFrame:
             rows = []
             for field in FIELDS:
                 for i, text in zip(batch["node_id"], batch[field], strict=True):
-                    n = len(scanner.scan(text)) if text else 0
+                    changed, n = scanner.masked(text)
                     if n:
-                        rows.append((i, field, n, scanner.redact(text)))
+                        rows.append((i, field, n, changed))
             yield pd.DataFrame(rows, columns=["node_id", "field", "masked_count", "masked_text"]).astype({"node_id": "int64", "masked_count": "int64"})
 
     texts = nodes.select(F.col("id").cast("long").alias("node_id"), *FIELDS).where("node_id is not null and (full_body is not null or skeleton is not null)")
