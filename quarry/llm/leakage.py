@@ -1,18 +1,22 @@
 """Problem 8: evaluation texts leaking into training text.
 
-Method: a generalised suffix automaton of the normalised test items is built once and sent to
-the workers; each document's words stream through it, which gives every longest match. Matches
-that follow one diagonal of an item are joined over single changed words into passages; an item
-has leaked when one passage, or two in its order, cover half of its words. Wording that many
-items share counts for none of them.
+Method: a generalised suffix automaton of the normalised test items streams over each document's
+words and tracks the longest match at every word; items that share enough of them are taken up, and
+each one's own automaton gives its longest matches. Matches that follow one diagonal of an item are
+joined over single changed words into passages; an item has leaked when one passage, or two in its
+order, cover half of its words. The passages are given as spans of the document and removed. Wording
+that many items share, counted over all items, counts for none of them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,30 +26,67 @@ from pyspark.sql import functions as F
 #: passage; share of an item's words that must be found word for word (half of them, less the few
 #: that may differ); smallest share of one of two passages.
 SHORTEST, SLIP, COVERAGE, HALF = 3, 4, 0.42, 0.18
-#: An item is looked at when matches of at least so many words cover this share of it. Half of an
+#: An item is taken up when passages of at least so many words cover this share of it. Half of an
 #: item in which only a few single words differ always has such stretches.
 ANCHOR, ANCHORED = 6, 0.2
-#: An n-gram of this many words in this share of the items is common to the suite.
-COMMON_WORDS, COMMON_SHARE = 8, 0.02
-#: Words of items in one automaton; more items make more automata, never fewer items.
-BLOCK_WORDS = 2_000_000
+#: An n-gram of this many words in this share of the items, and in three of them, is common to them.
+COMMON_WORDS, COMMON_SHARE, COMMON_LEAST = 8, 0.02, 3
+#: Characters of items in one automaton, which bounds what is broadcast and what a worker holds; more
+#: items make more automata and passes over the documents, never fewer items.
+BLOCK_CHARS = 2_000_000
 
 ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[nrtbf0abv])")
+CODED = re.compile(ESCAPE.pattern + r"|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
 WORD = re.compile(r"[^\W_]+")
 
 
+def decoded(m: re.Match) -> str:
+    return " " if m.group()[0] == "\\" else html.unescape(m.group())
+
+
 def normalised(text: str | None) -> list[str]:
     """Lower-case words without punctuation, quoting, escapes, entities and comment marks. A null
     text has none."""
     if not text:
         return []
-    if "&" in text:
-        text = html.unescape(text)
-    if "\\" in text:
-        text = ESCAPE.sub(" ", text)
+    if "&" in text or "\\" in text:
+        text = CODED.sub(decoded, text)
     return WORD.findall(text.lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end in ``text`` of each word that ``normalised`` gives."""
+    parts: list[str] = []
+    starts: list[int] = []  # of each part in the decoded text, and where it comes from
+    source: list[tuple[int, int, bool]] = []
+    at = made = 0
+
+    def add(piece: str, begin: int, end: int, coded: bool) -> None:
+        nonlocal made
+        if piece:
+            parts.append(piece)
+            starts.append(made)
+            source.append((begin, end, coded))
+            made += len(piece)
+
+    for m in CODED.finditer(text):
+        add(text[at : m.start()], at, m.start(), False)
+        add(decoded(m), m.start(), m.end(), True)
+        at = m.end()
+    add(text[at:], at, len(text), False)
+    plain = "".join(parts)
+    low = plain.lower()
+    wide = [i for i, c in enumerate(plain) for _ in c.lower()] if len(low) != len(plain) else None  # a few letters become two
+
+    def place(i: int) -> tuple[int, int]:
+        i = wide[i] if wide else i
+        k = bisect_right(starts, i) - 1
+        begin, end, coded = source[k]
+        return (begin, end) if coded else (begin + i - starts[k], begin + i - starts[k] + 1)
+
+    return [(place(m.start())[0], place(m.end() - 1)[1]) for m in WORD.finditer(low)]
+
+
 class Automaton:
     """Suffix automaton of several word sequences; every state knows one position at which its
     words end, and through the suffix tree all of them."""
@@ -53,6 +94,7 @@ class Automaton:
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.ids: dict[str, int] = {}
         self.items = items
+        self.known: dict[int, frozenset[int]] = {}
         self.length, self.link, self.next = [0], [-1], [{}]
         self.ends: list[list[tuple[int, int]]] = [[]]
         for k, (_, words) in enumerate(items):
@@ -111,6 +153,30 @@ class Automaton:
             stack += self.children[s]
         return out
 
+    def held(self, words: list[str], least: int) -> Iterator[frozenset[int]]:
+        """At each word, the items that hold the last ``least`` words, where any does."""
+        ids, nxt, link, length, known = self.ids, self.next, self.link, self.length, self.known
+        v = n = 0
+        for w in words:
+            c = ids.get(w)
+            if c is None:
+                v = n = 0
+                continue
+            while v >= 0 and c not in nxt[v]:
+                v = link[v]
+                n = length[v] if v >= 0 else 0
+            if v < 0:
+                v = n = 0
+                continue
+            v, n = nxt[v][c], n + 1
+            if n >= least:
+                u = v
+                while length[link[u]] >= least:
+                    u = link[u]
+                if u not in known:
+                    known[u] = frozenset(i for i, _ in self.occurrences(u))
+                yield known[u]
+
     def matches(self, words: list[str], shortest: int) -> list[tuple[int, int, int]]:
         """(index of the last word, length, state) of each match that can't be made longer."""
         ids, nxt, link, length = self.ids, self.next, self.link, self.length
@@ -141,75 +207,44 @@ class Automaton:
         return out
 
 
+def grams(words: list[str]) -> list[str]:
+    return [" ".join(words[a : a + COMMON_WORDS]) for a in range(len(words) - COMMON_WORDS + 1)]
+
+
 class Detector:
-    """Finds leaked items in documents."""
+    """Finds leaked items in documents. ``common`` are the n-grams that many items share."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], common: frozenset[str] = frozenset()) -> None:
         worded = [(i, normalised(t)) for i, t in items]
-        grams: Counter = Counter()
-        for _, words in worded:
-            grams.update({tuple(words[a : a + COMMON_WORDS]) for a in range(len(words) - COMMON_WORDS + 1)})
-        least = max(3, COMMON_SHARE * len(worded))
         self.own: list[list[bool]] = []
         for _, words in worded:
             own = [True] * len(words)
-            for a in range(len(words) - COMMON_WORDS + 1):
-                if grams[tuple(words[a : a + COMMON_WORDS])] >= least:
+            for a, gram in enumerate(grams(words)):
+                if gram in common:
                     own[a : a + COMMON_WORDS] = [False] * COMMON_WORDS
             self.own.append(own)
         self.need = [sum(own) for own in self.own]
         self.items = [i for i, _ in worded]
         self.automaton = Automaton(worded)
-        self.cache: dict[int, list[tuple[int, int]]] = {}
+        self.alone = lru_cache(maxsize=1000)(lambda k: Automaton([(0, worded[k][1])]))
 
     def passages(self, words: list[str]) -> dict[int, list[tuple[int, int, int, int, int]]]:
         """Item to (first word, last word in the document, first, last in the item, own words
         covered) of its passages: matches chained in both orders over at most ``SLIP`` words."""
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        cache = self.cache
-        if len(cache) > 50_000:
-            cache.clear()
-        matches = self.automaton.matches(words, SHORTEST)
         anchored: Counter = Counter()
-        for _, n, state in matches:
-            if n >= ANCHOR:
-                if state not in cache:
-                    cache[state] = self.automaton.occurrences(state)
-                for item in {i for i, _ in cache[state]}:
-                    anchored[item] += n
-        chosen = {i for i, n in anchored.items() if n >= ANCHORED * self.need[i]}
-        if not chosen:
-            return {}
-        for end, n, state in matches:
-            if state not in cache:
-                cache[state] = self.automaton.occurrences(state)
-            for item, at in cache[state]:
-                if item in chosen:
-                    by_item[item].append((end - n + 1, at - n + 1, n))
+        for items in self.automaton.held(words, ANCHOR):
+            anchored.update(items)
         out: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        for item, found in by_item.items():
+        for item, n in anchored.items():
             own, need = self.own[item], self.need[item]
-            if need == 0:
+            if need == 0 or n + ANCHOR - 1 < ANCHORED * need:
                 continue
+            alone = self.alone(item)
+            found = sorted((end - n + 1, at - n + 1, n) for end, n, state in alone.matches(words, SHORTEST) for _, at in alone.occurrences(state))
             if sum(n for _, _, n in found) < COVERAGE * need * 0.8:
                 continue
-            found.sort()
-            chains: list[list[tuple[int, int, int]]] = []
-            for doc, at, n in found:
-                best = None
-                for chain in reversed(chains[-40:]):
-                    d, a, m = chain[-1]
-                    gap, skip = doc - (d + m), at - (a + m)
-                    if -m < gap <= SLIP * 3 and -m < skip <= SLIP * 3 and abs(gap - skip) <= SLIP and at > a:
-                        key = abs(gap - skip) + max(0, gap)
-                        if best is None or key < best[0]:
-                            best = (key, chain)
-                if best:
-                    best[1].append((doc, at, n))
-                else:
-                    chains.append([(doc, at, n)])
             passages = []
-            for chain in chains:
+            for chain in chained(found):
                 covered = {a + k for _, a, n in chain for k in range(n) if own[a + k]}
                 if covered:
                     d, a, n = chain[-1]
@@ -218,57 +253,132 @@ class Detector:
                 out[item] = passages
         return out
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item id, share of its words found, first and last word of the leak in the document)."""
+    def leaks(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int]]]]:
+        """(item id, share of its words found, spans of the leak in the document's characters)."""
         words = normalised(text)
         if len(words) < SHORTEST:
             return []
-        out = []
+        out, at = [], None
         for item, passages in self.passages(words).items():
             need = self.need[item]
             one = max(passages, key=lambda p: p[4])
-            share, first, last = one[4] / need, one[0], one[1]
+            share, taken = one[4] / need, [one]
             if share < COVERAGE:
                 large = sorted(p for p in passages if p[4] >= HALF * need)
                 for i, p in enumerate(large):
                     for r in large[i + 1 :]:
                         if r[2] > p[3] - SLIP and (p[4] + r[4]) / need > share:
-                            share, first, last = (p[4] + r[4]) / need, p[0], r[1]
+                            share, taken = (p[4] + r[4]) / need, [p, r]
             if share >= COVERAGE:
-                out.append((self.items[item], min(1.0, share), first, last))
+                at = at or word_spans(text)
+                out.append((self.items[item], min(1.0, share), [(at[p[0]][0], at[p[1]][1]) for p in taken]))
         return out
 
 
-def leaked(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, share, first_word, last_word) of each item that a document repeats.
+def chained(found: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Matches (place in the document, place in the item, words), sorted, joined to chains: each
+    goes on the open chain nearest to its diagonal. Chains are looked up by the diagonals within
+    ``SLIP``, and one is closed once its end is too far behind for anything to follow."""
+    chains: list[list[tuple[int, int, int]]] = []
+    on: dict[int, list[int]] = defaultdict(list)
+    for doc, at, n in found:
+        best = None
+        for diagonal in range(doc - at - SLIP, doc - at + SLIP + 1):
+            if diagonal not in on:
+                continue
+            on[diagonal] = [k for k in on[diagonal] if doc - sum(chains[k][-1][::2]) <= SLIP * 3]
+            for k in on[diagonal]:
+                d, a, m = chains[k][-1]
+                gap, skip = doc - (d + m), at - (a + m)
+                if -m < gap and -m < skip <= SLIP * 3 and at > a:
+                    key = (abs(gap - skip) + max(0, gap), -k)
+                    if best is None or key < best[0]:
+                        best = (key, k, diagonal)
+        if best:
+            on[best[2]].remove(best[1])
+            k = best[1]
+            chains[k].append((doc, at, n))
+        else:
+            k = len(chains)
+            chains.append([(doc, at, n)])
+        on[doc - at].append(k)
+    return chains
+
+
+_DETECTORS: dict[str, Detector] = {}
+
+
+def detector_of(key: str, block: list[tuple[int, str]], common: frozenset[str]) -> Detector:
+    """The detector of a block, built once in a worker process and kept for its next tasks."""
+    if key not in _DETECTORS:
+        _DETECTORS.clear()
+        _DETECTORS[key] = Detector(block, common)
+    return _DETECTORS[key]
+
+
+def common_grams(items: DataFrame) -> frozenset[str]:
+    """The n-grams that at least a share of all items (item_id, text) hold. Of an item with w words
+    at most w n-grams count, so there are at most w / share of them for a mean of w words."""
 
-    The items are a closed set that does not grow with the corpus; were there more than
-    ``BLOCK_WORDS`` words of them, they would be taken in several blocks. Null ids and null or
-    empty texts give no row; rows that occur twice give one."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"gram": [g for t in batch["text"] for g in set(grams(normalised(t)))]}, dtype=object)
+
+    least = max(COMMON_LEAST, COMMON_SHARE * items.count())
+    counts = items.select("text").mapInPandas(run, "gram string").groupBy("gram").agg(F.count("*").alias("n"))
+    return frozenset(r["gram"] for r in counts.where(F.col("n") >= least).collect())
+
+
+def leaked(documents: DataFrame, eval_items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(item_id, doc_id, share, spans) of each item that a document repeats; ``spans`` are the
+    passages as [first_char, last_char) of the document's text.
+
+    The items are a closed set that does not grow with the corpus; beyond ``block_chars`` of them
+    they are taken in several blocks, with the same result. Null ids and null or empty texts give
+    no row; rows that occur twice give one."""
     spark = documents.sparkSession
-    items = [(r[0], r[1]) for r in eval_items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id").collect()]
+    listed = eval_items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    common = common_grams(listed)
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
-    for item in items:
-        if size > BLOCK_WORDS:
+    for r in listed.orderBy("item_id", "text").toLocalIterator():
+        if size > block_chars:
             blocks.append([])
             size = 0
-        blocks[-1].append(item)
-        size += len(item[1]) // 4
+        blocks[-1].append((r[0], r[1]))
+        size += len(r[1])
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "item_id long, doc_id long, share double, first_word long, last_word long"
+    schema = "item_id long, doc_id long, share double, spans array<struct<first_char long, last_char long>>"
     parts = []
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid4().hex, block, common))  # at most block_chars and the common n-grams
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            detector = Detector(shared.value)
+            detector = detector_of(*shared.value)
             for batch in batches:
-                rows = [(item, doc, share, a, b) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for item, share, a, b in detector.leaks(text)]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "share", "first_word", "last_word"]).astype({"item_id": "int64", "doc_id": "int64", "first_word": "int64", "last_word": "int64", "share": "float64"})
+                rows = [(item, doc, share, [{"first_char": a, "last_char": b} for a, b in spans]) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for item, share, spans in detector.leaks(text)]
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "share", "spans"]).astype({"item_id": "int64", "doc_id": "int64", "share": "float64"})
 
         parts.append(texts.mapInPandas(run, schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("item_id", "doc_id").agg(F.max("share").alias("share"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    return out.groupBy("item_id", "doc_id").agg(F.max(F.struct("share", "spans")).alias("x")).select("item_id", "doc_id", "x.share", "x.spans")
+
+
+def cleaned(documents: DataFrame, leaks: DataFrame) -> DataFrame:
+    """(doc_id, items, removed_chars, text) of each document that repeats an item: its text without
+    the spans of its leaks, which may overlap; other documents stay as they are and give no row.
+
+    Only spans are aggregated. They meet the texts by doc_id, where Spark broadcasts them if they
+    are small."""
+    spans = leaks.select("doc_id", "item_id", F.explode("spans").alias("x")).groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"), F.array_sort(F.collect_set("x")).alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def keep(done: F.Column, x: F.Column) -> F.Column:
+        between = F.substring("text", (done["at"] + 1).cast("int"), F.greatest(F.lit(0), x["first_char"] - done["at"]).cast("int"))
+        return F.struct(F.greatest(done["at"], x["last_char"]).alias("at"), F.concat(done["text"], between).alias("text"))
+
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id").dropDuplicates(["doc_id"])
+    kept = F.aggregate("spans", start, keep, lambda done: F.concat(done["text"], F.substring("text", (done["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return texts.select("doc_id", "items", "text", kept.alias("kept")).select("doc_id", "items", (F.length("text") - F.length("kept")).cast("long").alias("removed_chars"), F.col("kept").alias("text"))

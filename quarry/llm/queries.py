@@ -66,6 +66,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.cleaned(table(spark, sf_dir, "documents"), p8_leaks(spark, sf_dir))
+
+
 def p9_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_summary": p7_summary,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p8_cleaned": p8_cleaned,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }

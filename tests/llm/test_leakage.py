@@ -39,13 +39,49 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert L.leaked(frame.limit(0), given).count() == 0 and L.leaked(frame, given.limit(0)).count() == 0
 
 
-def test_blocks_of_items_change_nothing(spark, monkeypatch):
+def test_blocks_of_items_change_nothing(spark):
+    opening, items, plain, planted = corpus()
+    docs = {**{d: t for d, (_, t) in planted.items()}, 50: opening * 3, 51: opening + plain[100]}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    given = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    whole = sorted(map(str, L.leaked(frame, given).collect()))
+    assert sorted(map(str, L.leaked(frame, given, block_chars=900).collect())) == whole and len(whole) == len(planted)
+
+
+def test_spans_are_those_of_the_text_and_are_removed(spark):
     _, items, plain, planted = corpus()
-    frame = spark.createDataFrame([(d, t) for d, (_, t) in planted.items()], "doc_id long, text string")
-    given = spark.createDataFrame([(i, t) for i, t in items.items() if i % 2 == 0], "item_id long, text string")
-    whole = {(r.item_id, r.doc_id) for r in L.leaked(frame, given).collect()}
-    monkeypatch.setattr(L, "BLOCK_WORDS", 300)
-    assert {(r.item_id, r.doc_id) for r in L.leaked(frame, given).collect()} == whole
+    docs = {d: t for d, (_, t) in planted.items()} | {60: "İstanbul &amp; \\n " + planted[1][1] + " &eacute;t\u00e9 end", 61: plain[101]}
+    frame = spark.createDataFrame([(d, t, 7) for d, t in [*docs.items(), (1, docs[1])]], "doc_id long, text string, items int")
+    leaks = L.leaked(frame, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    spans = {r.doc_id: [(x.first_char, x.last_char) for x in r.spans] for r in leaks.collect()}
+    own = docs[1][spans[1][0][0] : spans[1][0][1]]
+    assert "before" not in own and "after" not in own and L.normalised(own) == L.normalised(items[3].replace(" ", " // "))
+    assert L.normalised(docs[60][spans[60][0][0] : spans[60][0][1]]) == L.normalised(own) and len(spans[3]) == 2
+    rest = {r.doc_id: (r.removed_chars, r.text) for r in L.cleaned(frame, leaks).collect()}
+    assert set(rest) == set(spans) and rest[1][1].split() == ["before", ".", "after"] and plain[100] in rest[3][1]
+    assert all(n == len(docs[d]) - len(t) for d, (n, t) in rest.items())
+
+
+def test_word_spans():
+    text = "a&amp;b \\u0041x &lt;tag&gt; caf&eacute; İz \\nend"
+    assert [text[a:b].replace("İ", "i") for a, b in L.word_spans(text)] == ["a", "b", "x", "tag", "caf&eacute;", "i̇"[0], "z", "end"]
+    assert len(L.word_spans(text)) == len(L.normalised(text)) and L.word_spans("") == []
+
+
+def test_an_item_inside_a_longer_match_of_another_counts():
+    rng = random.Random(3)
+    long = [rng.choice(NOUNS) + str(rng.randrange(99)) for _ in range(60)]
+    detector = L.Detector([(1, " ".join(long)), (2, " ".join(long[20:50]))])
+    assert {item for item, _, _ in detector.leaks("x y " + " ".join(long) + " z")} == {1, 2}
+
+
+def test_repeated_wording_does_not_hide_the_true_chain():
+    phrase = "one two three four five six seven "
+    item = " ".join(f"{phrase}w{i}" for i in range(60))
+    words = L.normalised(item)
+    words[200:201] = ["changed", "twice"]
+    (_, share, spans), = L.Detector([(1, item)]).leaks(" ".join(words))
+    assert share > 0.95 and len(spans) == 1
 
 
 def test_automaton_matches_a_naive_search():
