@@ -12,10 +12,12 @@ Every node has at most one parent; where rows give it several, the smallest coun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import cut, release
+from quarry.runtime import cut
 
 #: Rounds of peeling before lists take over, and siblings' sums are taken in this many buckets.
 PEELS, BUCKETS = 5, 16
@@ -129,25 +131,22 @@ def ranked(elements: DataFrame) -> DataFrame:
     that have reached their end leave the joins' left side."""
     done: list[DataFrame] = []
     active = cut(elements.withColumn("last", F.when(F.col("next_id").isNull(), F.col("id"))))
-    turn = 0
     while True:
-        ended = active.where("next_id is null")
+        done.append(active.where("next_id is null"))
         going = active.where("next_id is not null")
         if going.isEmpty():
-            done.append(ended)
             break
-        after = active.select(
+        known = reduce(DataFrame.unionByName, done, going)  # what is finished is looked up, never written again
+        after = known.select(
             "kind", F.col("id").alias("next_id"), F.col("up").alias("next_up"), F.col("next_id").alias("n_id"), F.col("next_up").alias("n_up"),
             F.col("positions").alias("p"), F.col("levels").alias("l"), F.col("last").alias("n_last"),
         )
-        jumped = going.join(after, ["kind", "next_id", "next_up"]).select(
-            "kind", "id", "up", F.col("n_id").alias("next_id"), F.col("n_up").alias("next_up"), (F.col("positions") + F.col("p")).alias("positions"), (F.col("levels") + F.col("l")).alias("levels"), F.col("n_last").alias("last")
+        active = cut(
+            going.join(after, ["kind", "next_id", "next_up"]).select(
+                "kind", "id", "up", F.col("n_id").alias("next_id"), F.col("n_up").alias("next_up"), (F.col("positions") + F.col("p")).alias("positions"), (F.col("levels") + F.col("l")).alias("levels"), F.col("n_last").alias("last")
+            )
         )
-        active = cut(jumped.unionByName(ended))
-        turn += 1
-        if turn % 3 == 0:
-            release(elements.sparkSession)
-    return done[0].select("kind", "id", "up", "positions", "levels", "last")
+    return reduce(DataFrame.unionByName, done).select("kind", "id", "up", "positions", "levels", "last")
 
 
 def forest(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("CONTAINS", "INHERITS")) -> DataFrame:
@@ -161,8 +160,6 @@ def forest(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("CONTAI
     tables give no rows; rows that repeat change nothing."""
     tree = parents(counting_edges(edges, nodes, kinds))
     core, peeled = peel(tree)
-    spark = edges.sparkSession
-    release(spark)
     found = cycles(core)
     trees = core.join(found.select("kind", "id", "on_cycle", "cycle"), ["kind", "id"], "left").withColumn("parent", F.when(F.coalesce("on_cycle", F.lit(False)), F.lit(None).cast("long")).otherwise(F.col("parent")))
     trees = cut(trees)
@@ -176,7 +173,6 @@ def forest(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("CONTAI
         "kind", "id", "parent", "tree", "level", (F.col("total") - F.col("down_sum")).alias("entry"), (F.col("total") - F.col("up_sum")).alias("exit"), "cycle", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")
     )
     placed = cut(placed)
-    release(spark)
     # Peeled nodes lie right after their parent's entry, one subtree after another.
     lost = None
     for round_no, part in enumerate(peeled):
@@ -212,6 +208,12 @@ def hierarchy(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return forest(edges, nodes).select("kind", "node_id", F.coalesce("cycle_id", "tree_id").alias("root_id"), depth.cast("long").alias("depth"))
 
 
+def tours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, node_id, tree_id, entry, exit): places on the Euler tour of each tree. One node lies below
+    another exactly when its entry lies between the other's entry and exit in the same tree."""
+    return forest(edges, nodes).select("kind", "node_id", "tree_id", "entry", "exit")
+
+
 def descendant_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(kind, node_id, descendants), from entry and exit alone. A node of a cycle has the nodes
     that hang below it; the rest of its cycle is not counted."""

@@ -6,46 +6,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import SYMBOLS, cluster_name, degrees, skeleton_tokens
-from quarry.runtime import cut, release
-
-ALPHA, ROUNDS, DIGITS = 0.85, 10, 9
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
-    """(id, score) after ``rounds`` rounds, teleporting everywhere or, with seeds, to them alone.
-
-    Edges of different kinds each carry a share; mass of nodes without edges goes where
-    teleports go. A round is one join on the source and one aggregation on the target; the
-    one-row total of lost mass is the only broadcast. Scores are rounded to nine places."""
+from quarry.runtime import cut, partitions
+
+# Share of a score that follows links, change a node at which scores count as settled, most rounds.
+ALPHA, TOLERANCE, MOST = 0.85, 1e-6, 100
+#: Change of all scores together, whose sum is 1, at which they count as settled however many nodes there are.
+SETTLED = 1e-3
+#: Rounds between two looks at the change; each look cuts the lineage.
+LOOK = 6
+
+
+def rounds(n: int, alpha: float) -> str:
+    """``n`` rounds as one statement, so that they are planned together. The sides of the joins are laid
+    out by node already; merging them costs neither an exchange nor a broadcast."""
+    steps = ["s0 AS (SELECT id, x FROM {state})"]
+    for i in range(1, n + 1):
+        steps.append(f"c{i} AS (SELECT /*+ MERGE(s{i - 1}) */ l.target_id AS id, sum(x * w) AS came FROM {{links}} l JOIN s{i - 1} ON l.source_id = s{i - 1}.id GROUP BY l.target_id)")
+        steps.append(f"s{i} AS (SELECT /*+ MERGE(c{i}) */ b.id, {alpha}D * coalesce(came, 0D) + {1 - alpha!r}D * p AS x FROM {{base}} b LEFT JOIN c{i} ON b.id = c{i}.id)")
+    return f"WITH {', '.join(steps)} SELECT id, x FROM s{n}"
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = ALPHA, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """(id, score), teleporting everywhere or, with seeds, to them alone, until ``LOOK`` rounds change
+    a score by less than ``tolerance`` on average and all together by less than ``SETTLED``, at most
+    ``most`` rounds.
+
+    Edges of different kinds each carry a share. What reaches nodes without links would go where
+    teleports go; at the fixpoint that is the same as leaving it out and scaling the scores to one
+    in the end, which spares every round a total. Scores are rounded to six places of a mean score,
+    whatever the number of nodes. Links stay partitioned by source and scores by node, so a round
+    exchanges nothing but sums by target. Seeds that are no nodes are left out; without any, all
+    scores are 0."""
+    spark = nodes.sparkSession
+    parts = partitions(spark)
     ids = nodes.select("id").distinct()
-    out = edges.groupBy("source_id").agg(F.count("*").alias("out"))
+    total = ids.count()
     if seeds is None:
-        jump = ids.withColumn("p", F.lit(1.0) / F.lit(float(max(1, ids.count()))))
+        jump = ids.withColumn("p", F.lit(1.0 / max(1, total)))
     else:
-        chosen = ids.join(seeds.select("id").distinct(), "id", "left_semi")
-        n = float(max(1, chosen.count()))
-        jump = ids.join(chosen.withColumn("p", F.lit(1.0 / n)), "id", "left").fillna(0.0, ["p"])
-    start = ids.withColumn("x", F.lit(1.0 / max(1, ids.count())))
-    base = cut(jump.join(out.withColumnRenamed("source_id", "id"), "id", "left"))
-    links = cut(edges.select("source_id", "target_id"))
-    state = base.join(start, "id")
-    for turn in range(1, rounds + 1):
-        share = state.where("out is not null").select(F.col("id").alias("source_id"), (F.col("x") / F.col("out")).alias("share"))
-        came = links.join(share, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("came"))
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("x"))), F.lit(0.0)).alias("lost"))
-        mixed = base.join(came, "id", "left").crossJoin(F.broadcast(lost))  # one row is broadcast
-        state = mixed.select("id", "p", "out", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")).alias("x"))
-        if turn % 2 == 0:
-            state = cut(state)
-            release(nodes.sparkSession)
-    return state.select("id", F.round("x", DIGITS).alias("score"))
+        chosen = cut(ids.join(seeds.select("id").distinct(), "id", "left_semi"))
+        jump = ids.join(chosen.withColumn("p", F.lit(1.0 / max(1, chosen.count()))), "id", "left").fillna(0.0, ["p"])
+    base = jump.repartition(parts, "id").sortWithinPartitions("id").persist()
+    plain = cut(edges.select("source_id", "target_id"))
+    out = plain.groupBy("source_id").agg((F.lit(1.0) / F.count("*")).alias("w"))
+    links = plain.join(out, "source_id").repartition(parts, "source_id").sortWithinPartitions("source_id").persist()
+    state = seen = base.select("id", F.col("p").alias("x"))
+    for turn in range(LOOK, most + LOOK, LOOK):
+        state = cut(spark.sql(rounds(min(LOOK, most - turn + LOOK), alpha), links=links, base=base, state=state), fixed=True)
+        moved = state.join(seen.withColumnRenamed("x", "was"), "id").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0]
+        if moved is None or moved < min(tolerance * total, SETTLED):
+            break
+        seen = state
+    base.unpersist()
+    links.unpersist()
+    mass = state.agg(F.sum("x").alias("mass"))
+    scaled = state.crossJoin(F.broadcast(mass)).select("id", F.when(F.col("mass") > 0, F.col("x") / F.col("mass")).otherwise(0.0).alias("x"))  # one row is broadcast
+    return scaled.select("id", (F.round(F.col("x") * total, 6) / F.lit(float(max(1, total)))).alias("score"))
 
 
 def lower_count(scores: DataFrame, value: str) -> DataFrame:
     """(value, lower, total): how many rows have a lower value, for each distinct value. Values are
     counted first, then summed within steps of their logarithm and over the steps, so no task
     sorts all rows."""
-    counts = scores.groupBy(value).agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log(F.greatest(F.col(value), F.lit(1e-12))) * 64))
+    counts = scores.groupBy(value).agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log(F.greatest(F.col(value), F.lit(1e-300))) * 64))
     inside = Window.partitionBy("step").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("step").agg(F.sum("n").alias("m"))
     across = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand steps at most

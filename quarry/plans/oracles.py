@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarry.functions.text import COMPLEX, IGNORED, LANGUAGES, MIDDLING, SHARES, SPLITS, TASKS
 from quarry.operators.metrics import COLOURS, SIZES
-from quarry.operators.rank import ALPHA, ROUNDS
+from quarry.operators.rank import ALPHA, LOOK, MOST, SETTLED, TOLERANCE
 
 N = """n AS (SELECT DISTINCT id, kind, name, repo, file_path, start_line, end_line, signature, skeleton, full_body, docstring, enclosing_scope, token_count_skeleton, token_count_full FROM nodes WHERE id IS NOT NULL)"""
 E = """e AS (SELECT source_id, target_id, upper(trim(kind)) AS kind, coalesce(max(weight), 1.0) AS weight FROM edges
@@ -62,19 +62,15 @@ def cosine(name: str, k: int) -> str:
 
 
 def pagerank(seeded: bool) -> str:
-    """CTEs that end in ``scores`` (id, score) after the rounds, unrolled."""
-    jump = "CASE WHEN id % 100 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM n WHERE id % 100 = 0) ELSE 0::DOUBLE END" if seeded else "1.0::DOUBLE / (SELECT count(*) FROM n)"
-    parts = [
-        "o AS (SELECT source_id, count(*) AS out FROM e GROUP BY 1)",
-        f"b AS (SELECT n.id, {jump.replace('id %', 'n.id %', 1) if seeded else jump} AS p, o.out FROM n LEFT JOIN o ON o.source_id = n.id)",
-        "x0 AS (SELECT id, p, out, 1.0::DOUBLE / (SELECT count(*) FROM n) AS x FROM b)",
-    ]
-    for i in range(1, ROUNDS + 1):
-        parts.append(
-            f"x{i} AS MATERIALIZED (SELECT b.id, b.p, b.out, {ALPHA}::DOUBLE * (coalesce(c.came, 0) + l.lost * b.p) + (1 - {ALPHA}::DOUBLE) * b.p AS x FROM b LEFT JOIN (SELECT target_id, sum(x / out) AS came FROM e JOIN x{i - 1} y ON y.id = e.source_id GROUP BY 1) c"
-            f" ON c.target_id = b.id, (SELECT coalesce(sum(CASE WHEN out IS NULL THEN x END), 0) AS lost FROM x{i - 1}) l)"
-        )
-    return ", ".join([*parts, f"scores AS (SELECT id, round(x, 9) AS score FROM x{ROUNDS})"])
+    """CTEs that end in ``scores`` (id, score): rounds until they change by less than the tolerance."""
+    jump = "CASE WHEN n.id % 100 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM n WHERE id % 100 = 0) ELSE 0::DOUBLE END" if seeded else "1.0::DOUBLE / (SELECT count(*) FROM n)"
+    return f"""b AS MATERIALIZED (SELECT n.id, {jump} AS p FROM n), l AS MATERIALIZED (SELECT source_id, target_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY source_id) AS w FROM e),
+x AS (SELECT 0 AS k, id, p AS x, p AS seen, 1e9::DOUBLE AS moved FROM b UNION ALL
+ SELECT k, id, x, CASE WHEN k % {LOOK} = 0 THEN x ELSE seen END, sum(abs(x - seen)) OVER () FROM (SELECT y.k + 1 AS k, y.id, {ALPHA}::DOUBLE * coalesce(c.came, 0) + (1 - {ALPHA}::DOUBLE) * b.p AS x, y.seen
+ FROM x y JOIN b ON b.id = y.id LEFT JOIN (SELECT target_id, sum(z.x * l.w) AS came FROM l JOIN x z ON z.id = l.source_id GROUP BY 1) c ON c.target_id = y.id
+ WHERE y.k < {MOST} AND (y.k % {LOOK} <> 0 OR y.moved >= least({TOLERANCE}::DOUBLE * (SELECT count(*) FROM n), {SETTLED}::DOUBLE)))),
+last AS (SELECT id, x FROM x WHERE k = (SELECT max(k) FROM x)),
+scores AS (SELECT id, round(x / (SELECT sum(x) FROM last) * (SELECT count(*) FROM n), 6) / (SELECT count(*) FROM n)::DOUBLE AS score FROM last)"""
 
 
 def reach(links: str, seeds: str, hops: int, later: str = "TRUE") -> str:

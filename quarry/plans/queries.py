@@ -67,6 +67,11 @@ def p2_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendant_totals(table(spark, d, "edges"), table(spark, d, "nodes"))
 
 
+@query
+def p2_tours(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.tours(table(spark, d, "edges"), table(spark, d, "nodes"))
+
+
 @query
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     found = hierarchy.paths(table(spark, d, "edges"), table(spark, d, "nodes"))

@@ -32,7 +32,8 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application, in case it isn't installed there."""
+    """Give the executors this package, once an application, in case it isn't installed there. The
+    archive is the driver's own file; the driver serves it, so executors need no shared folder."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -55,32 +56,46 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer parts than there are cores, as a small table
     in one file does; larger tables are left as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> None:
+    """Set the checkpoint folder to ``spark.checkpoint.dir``. Only on a local master, where that
+    setting may be absent as in tests, a temporary folder is as good; a cluster must name one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarry-")
+    context.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame, fixed: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends
-    and a lost executor costs nothing that came before.
-
-    The folder is ``spark.checkpoint.dir``. Only where that setting is absent, as in tests, a
-    local temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
-        context.setCheckpointDir(folder)
-    done = df.checkpoint(eager=True)
-    # A checkpoint keeps the constraints that its plan implied; over rounds of self-joins the
-    # optimizer would multiply them. The same rows as a fresh relation carry none.
-    session = df.sparkSession
-    fresh = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    return DataFrame(fresh, session)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the JVM drop shuffle files and checkpoints that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    and a lost executor costs nothing that came before. Size and partitioning stay known.
+
+    A checkpoint would keep the constraints that its plan implied, and over rounds of self-joins the
+    optimizer would multiply them, so none are derived while it is taken. ``fixed`` runs a plan whose
+    partitioning is laid out already as one job, without planning each of its stages anew."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    settings = {"spark.sql.constraintPropagation.enabled": "false"} | ({"spark.sql.adaptive.enabled": "false"} if fixed else {})
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many parts the session shuffles into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_dir(scale: str = "0.001") -> str:
