@@ -131,21 +131,26 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def cluster_name(path: F.Column) -> F.Column:
-    """Last folder of a path, ``core`` at the top."""
+def cluster_name(path: F.Column, top: str = "core") -> F.Column:
+    """Last folder of a path, or ``top`` for files in none."""
     place = folder(path)
-    return F.when(place == ".", F.lit("core")).otherwise(F.element_at(F.split(place, "/"), -1))
+    return F.when(place == ".", F.lit(top)).otherwise(F.element_at(F.split(place, "/"), -1))
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
     """(cluster, cluster_id, member_count, top_symbols, lead_files): nodes grouped by their last
     folder; at most six class and function names in id order and four files, sorted."""
-    members = nodes.where(F.col("kind").isin("FILE", *SYMBOLS, "CHUNK") & F.col("file_path").isNotNull()).withColumn("cluster", cluster_name(F.col("file_path")))
+    members = nodes.where(F.col("kind").isin("FILE", *SYMBOLS, "CHUNK") & F.col("file_path").isNotNull()).withColumn("cluster", cluster_name(F.col("file_path"), "root"))
     firsts = Window.partitionBy("cluster").orderBy("id")
     named = members.where(F.col("kind").isin("CLASS", "FUNCTION")).withColumn("n", F.row_number().over(firsts)).where("n <= 6")
     tops = named.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), ",").alias("top_symbols"))
     paths = members.select("cluster", "file_path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("file_path"))).where("n <= 4")
     leads = paths.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("lead_files"))
     counts = members.groupBy("cluster").agg(F.count("*").alias("member_count"))
-    ids = counts.select("cluster", F.row_number().over(Window.orderBy("cluster")).cast("long").alias("cluster_id"))  # one row a folder name
+    # Names are numbered within their first two letters, after all names with smaller ones.
+    letters = counts.select("cluster", F.substring("cluster", 1, 2).alias("letters"))
+    before = F.sum("n").over(Window.orderBy("letters").rowsBetween(Window.unboundedPreceding, -1))  # one row for two letters
+    starts = letters.groupBy("letters").agg(F.count("*").alias("n")).select("letters", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("letters").orderBy("cluster"))
+    ids = letters.withColumn("place", place).join(starts, "letters").select("cluster", (F.col("start") + F.col("place")).cast("long").alias("cluster_id"))
     return counts.join(ids, "cluster").join(tops, "cluster", "left").join(leads, "cluster", "left").select("cluster", "cluster_id", "member_count", F.coalesce("top_symbols", F.lit("")).alias("top_symbols"), F.coalesce("lead_files", F.lit("")).alias("lead_files"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.functions.text import COMPLEX, IGNORED, LANGUAGES, MIDDLING, SHARES, SPLITS, TASKS
 from quarry.operators.metrics import COLOURS, SIZES
+from quarry.operators.search import DIMENSIONS
 from quarry.operators.rank import ALPHA, LOOK, MOST, SETTLED, TOLERANCE
 
 N = """n AS (SELECT DISTINCT id, kind, name, repo, file_path, start_line, end_line, signature, skeleton, full_body, docstring, enclosing_scope, token_count_skeleton, token_count_full FROM nodes WHERE id IS NOT NULL)"""
@@ -56,6 +57,18 @@ def bm25(texts: str, asked: str, name: str, k: int) -> str:
 {p} AS (SELECT query, doc, score, place FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM {p}_x) WHERE place <= {k} AND score > 0)"""
 
 
+def word_vector(column: str) -> str:
+    digit = lambda i: f"(instr('0123456789abcdef', substr(md5(t), {i}, 1)) - 1)"
+    place = f"(CASE WHEN {digit(3)} < 8 THEN 1 ELSE -1 END) * (({digit(1)} * 16 + {digit(2)}) % {DIMENSIONS} + 1)"
+    return f"list_transform(range(1, {DIMENSIONS} + 1), lambda i: (len(list_filter(p, lambda x: x = i)) - len(list_filter(p, lambda x: x = -i)))::DOUBLE) AS v FROM (SELECT *, list_transform({code_tokens(column)}, lambda t: {place}) AS p"
+
+
+def dense(texts: str, asked: str, name: str, k: int) -> str:
+    """CTEs that end in ``name`` (query, doc, score, place) over vectors made from words."""
+    return f"""{name}_d AS MATERIALIZED (SELECT doc, {word_vector("text")} FROM ({texts})) WHERE len(p) > 0), {name}_q AS MATERIALIZED (SELECT query, {word_vector("text")} FROM ({asked})) WHERE len(p) > 0),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM (SELECT query, doc, round(list_dot_product(q.v, d.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-10) * greatest(sqrt(list_dot_product(d.v, d.v)), 1e-10)), 6) AS score FROM {name}_q q, {name}_d d)) WHERE place <= {k})"""
+
+
 def cosine(name: str, k: int) -> str:
     return f"""{name} AS (SELECT query, doc, score, place FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM (
  SELECT q.vec_id AS query, v.vec_id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE place <= {k})"""
@@ -187,7 +200,7 @@ SQL: dict[str, str] = {
     "q_percentile": f"{G}, {pagerank(False)}, r AS (SELECT id, round(rank() OVER (ORDER BY score) / (SELECT count(*) FROM scores), 6) AS percentile FROM scores) SELECT id, percentile FROM r JOIN n USING (id) WHERE {SYM}",
     "q_fingerprint": f"""{G}, {pagerank(False)}, r AS (SELECT id, round(rank() OVER (ORDER BY score) / (SELECT count(*) FROM scores), 6) AS percentile FROM scores), i AS (SELECT target_id AS id, count(*) AS c FROM e GROUP BY 1), u AS (SELECT source_id AS id, count(*) AS c FROM e GROUP BY 1)
  SELECT n.id, {CLUSTER} AS cluster, percentile, n.kind || ' ' || n.name || CASE WHEN coalesce(signature, '') <> '' THEN ' [' || signature || ']' ELSE '' END || ' [in:' || coalesce(i.c, 0) || ' out:' || coalesce(u.c, 0) || ' rank:' || CAST(round_even(percentile * 100, 0) AS INT) || '%]' AS fingerprint FROM r JOIN n USING (id) LEFT JOIN i USING (id) LEFT JOIN u USING (id) WHERE {SYM}""",
-    "q_clusters": f"""{G}, m AS (SELECT *, {CLUSTER} AS cluster FROM n WHERE kind IN ('FILE', 'FUNCTION', 'CLASS', 'METHOD', 'CHUNK') AND file_path IS NOT NULL), c AS (SELECT cluster, count(*) AS member_count FROM m GROUP BY 1),
+    "q_clusters": f"""{G}, m AS (SELECT *, {CLUSTER.replace("'core'", "'root'")} AS cluster FROM n WHERE kind IN ('FILE', 'FUNCTION', 'CLASS', 'METHOD', 'CHUNK') AND file_path IS NOT NULL), c AS (SELECT cluster, count(*) AS member_count FROM m GROUP BY 1),
  t AS (SELECT cluster, string_agg(name, ',' ORDER BY id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS k FROM m WHERE kind IN ('CLASS', 'FUNCTION')) WHERE k <= 6 GROUP BY 1),
  l AS (SELECT cluster, string_agg(file_path, ',' ORDER BY file_path) AS names FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY file_path) AS k FROM (SELECT DISTINCT cluster, file_path FROM m)) WHERE k <= 4 GROUP BY 1)
  SELECT cluster, row_number() OVER (ORDER BY cluster) AS cluster_id, member_count, coalesce(t.names, '') AS top_symbols, coalesce(l.names, '') AS lead_files FROM c LEFT JOIN t USING (cluster) LEFT JOIN l USING (cluster)""",
@@ -204,7 +217,7 @@ SQL: dict[str, str] = {
     "q_rrf": f"""WITH {bm25('SELECT doc_id AS doc, text FROM documents', 'SELECT doc_id AS query, text FROM documents WHERE doc_id % 100 = 0', 'b', 30)}, {cosine('c', 30)},
  s AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2) SELECT query, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM s) WHERE place <= 10""",
     "q_hybrid": f"""{G}, s AS (SELECT * FROM n WHERE kind IN ('CHUNK', 'FUNCTION', 'CLASS', 'METHOD')), asked AS (SELECT id AS query, name AS text FROM s WHERE id % 100 = 0 AND name IS NOT NULL),
- {bm25("SELECT id AS doc, coalesce(nullif(skeleton, $$$$), nullif(full_body, $$$$), nullif(name, $$$$)) AS text FROM s", "SELECT query, text FROM asked", "a", 30)}, {bm25("SELECT id AS doc, name AS text FROM s", "SELECT query, text FROM asked", "b", 30)},
+ {bm25("SELECT id AS doc, coalesce(nullif(skeleton, $$$$), nullif(full_body, $$$$), nullif(name, $$$$)) AS text FROM s", "SELECT query, text FROM asked", "a", 30)}, {dense("SELECT id AS doc, coalesce(nullif(skeleton, $$$$), nullif(full_body, $$$$), nullif(name, $$$$)) AS text FROM s", "SELECT query, text FROM asked", "b", 30)},
  m AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2), k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 30),
  u AS (SELECT source_id AS id, count(*) AS c FROM e GROUP BY 1),
  w AS (SELECT k.query, k.doc, round(k.score * CASE WHEN s.{SYM} AND len(list_filter(regexp_split_to_array(lower(asked.text), '\\s+'), lambda x: x <> '' AND contains(lower(s.name), x))) > 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * (1 + least(coalesce(u.c, 0), 10) * 0.05::DOUBLE), 9) AS score FROM k JOIN asked USING (query) JOIN s ON s.id = k.doc LEFT JOIN u ON u.id = k.doc)

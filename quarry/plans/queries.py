@@ -475,9 +475,10 @@ def q_rrf(spark: SparkSession, d: str) -> DataFrame:
 def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d, "id", "kind", "name", "skeleton", "full_body").where("kind in ('CHUNK', 'FUNCTION', 'CLASS', 'METHOD')")
     corpus = n.select(F.col("id").alias("doc"), text.filled("skeleton", "full_body", "name").alias("text"))
-    names = n.select(F.col("id").alias("doc"), F.col("name").alias("text"))
     asked = hundredth(n).where("name is not null").select(F.col("id").alias("query"), F.col("name").alias("text"))
-    merged = search.fused([search.bm25(corpus, asked, 30), search.bm25(names, asked, 30)], 30)
+    words = search.bm25(corpus, asked, 30)
+    dense = search.cosine(search.word_vectors(corpus), search.word_vectors(asked), 30)
+    merged = search.fused([words, dense], 30)
     return search.boosted(merged, asked, n, graph.degrees(nodes(spark, d, "id"), edges(spark, d)))
 
 
