@@ -35,10 +35,25 @@ def declares(nodes: DataFrame) -> DataFrame:
 
 
 def contains(nodes: DataFrame) -> DataFrame:
-    """From each class to the methods that name it as their scope in the same file."""
-    classes = nodes.where("kind = 'CLASS'").select(F.col("id").alias("source_id"), "repo", "file_path", F.col("name").alias("enclosing_scope"))
-    methods = nodes.where("kind = 'METHOD' and enclosing_scope is not null").select(F.col("id").alias("target_id"), "repo", "file_path", "enclosing_scope")
-    return methods.join(classes, ["repo", "file_path", "enclosing_scope"]).select("source_id", "target_id", F.lit("CONTAINS").alias("kind"), F.lit(1.0).alias("weight")).distinct()
+    """From each class to the methods that name it as their scope in the same file; a method without
+    a scope belongs to the innermost class of its file whose lines enclose it."""
+    edge = lambda frame: frame.select("source_id", "target_id", F.lit("CONTAINS").alias("kind"), F.lit(1.0).alias("weight"))
+    classes = nodes.where("kind = 'CLASS'").select(F.col("id").alias("source_id"), "repo", "file_path", F.col("name").alias("enclosing_scope"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    methods = nodes.where("kind = 'METHOD'").select(F.col("id").alias("target_id"), "repo", "file_path", "enclosing_scope", "start_line")
+    named = edge(methods.join(classes.drop("first", "last"), ["repo", "file_path", "enclosing_scope"]))
+    around = methods.where("enclosing_scope is null").join(classes.drop("enclosing_scope"), ["repo", "file_path"]).where(F.col("start_line").between(F.col("first"), F.col("last")))
+    inner = around.groupBy("target_id").agg(F.min(F.struct(F.col("last") - F.col("first"), "source_id")).alias("x")).select("x.source_id", "target_id")
+    return named.unionByName(edge(inner)).distinct()
+
+
+def named_contains(nodes: DataFrame) -> DataFrame:
+    """(repo, scope, name, n_sources, n_targets, n_edges): the rule by names alone, where a scope's
+    name leads from every node of that name to every node of the method's name in the repository. One
+    row for a pair of names; the nodes of a name are its members."""
+    sizes = nodes.where("name is not null").groupBy("repo", "name").agg(F.count("*").alias("n"))
+    pairs = nodes.where("kind = 'METHOD' and enclosing_scope is not null and name is not null").select("repo", F.col("enclosing_scope").alias("scope"), "name").distinct()
+    joined = pairs.join(sizes.withColumnsRenamed({"name": "scope", "n": "n_sources"}), ["repo", "scope"]).join(sizes.withColumnRenamed("n", "n_targets"), ["repo", "name"])
+    return joined.select("repo", "scope", "name", "n_sources", "n_targets", (F.col("n_sources") * F.col("n_targets")).alias("n_edges"))
 
 
 def module_key(module: str | F.Column) -> F.Column:
@@ -58,6 +73,40 @@ def imports(files: DataFrame, modules: DataFrame) -> DataFrame:
     return asked.join(ends, ["repo", "module_key"]).where("source_id <> target_id").select("source_id", "target_id", F.lit("IMPORTS").alias("kind"), F.lit(1.0).alias("weight")).distinct()
 
 
+#: Lengths of the pieces of a path by which a module's name is looked up in it.
+GRAMS = (8, 4, 3, 2, 1)
+
+
+def module_path(module: str, path: str) -> F.Column:
+    """What an import says as a piece of a path: dots and backslashes as slashes, Python's leading dots
+    gone; a script's relative path from the folder of the file that imports it."""
+    place = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    up = lambda done: F.regexp_replace(done, r"/?[^/]*$", "")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).when(done == "", x).otherwise(F.concat(done, F.lit("/"), x))
+    resolved = F.aggregate(F.split(F.concat(place, F.lit("/"), F.col(module)), "/"), F.lit(""), step)
+    python = F.lower(F.col(path)).endswith(".py")
+    return F.when(python, F.translate(F.regexp_replace(module, r"^\.+", ""), ".\\", "//")).when(F.col(module).startswith("."), resolved).otherwise(F.translate(module, ".\\", "//"))
+
+
+def named_imports(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """(repo, module_key, target_id, importers): the rule by text alone, where a module leads to every
+    file of the repository (id, repo, relative_path) whose path holds it anywhere. One row for a
+    module and a file, with the number of other files that import it.
+
+    The substring test is an equi-join: paths are cut into pieces of a few lengths, a module is looked
+    up by the longest that it begins with, and only what that gives is compared."""
+    asked = modules.select("repo", "relative_path", module_path("module", "relative_path").alias("module_key")).where("module_key <> ''").distinct()
+    importers = asked.groupBy("repo", "module_key").agg(F.count("*").alias("n"))
+    size = F.length("module_key")
+    long = F.when(size >= 8, 8).when(size >= 4, 4).otherwise(size)
+    cut_up = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("relative_path") - (g - 1))), lambda i: F.substring("relative_path", i, F.lit(g)))
+    pieces = F.array_distinct(F.flatten(F.array(*[cut_up(g) for g in GRAMS])))
+    held = files.select(F.col("id").alias("target_id"), "repo", "relative_path", F.explode(pieces).alias("piece"))
+    found = importers.withColumn("piece", F.substring("module_key", F.lit(1), long)).join(held, ["repo", "piece"]).where(F.col("relative_path").contains(F.col("module_key")))
+    own = asked.withColumn("own", F.lit(1))
+    return found.join(own, ["repo", "module_key", "relative_path"], "left").select("repo", "module_key", "target_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("importers")).where("importers > 0")
+
+
 def references(nodes: DataFrame) -> DataFrame:
     """(repo, source_id, name): names of functions, classes and methods of the repository that occur
     as a word in a symbol's body, other than its own. Words are exploded once and joined by
@@ -74,6 +123,27 @@ def calls(nodes: DataFrame) -> DataFrame:
     return references(nodes).join(targets, ["repo", "name"]).where("source_id <> target_id").select("source_id", "target_id", F.lit("CALLS").alias("kind"), F.lit(1.0).alias("weight")).distinct()
 
 
+def counted_calls(nodes: DataFrame) -> DataFrame:
+    """(repo, source_id, name, n_targets): the edges of ``calls``, one row for a symbol and a name with
+    the number of symbols that have it, so that a common name does not multiply."""
+    sizes = nodes.where(F.col("kind").isin("FUNCTION", "CLASS", "METHOD")).groupBy("repo", "name").agg(F.count("*").alias("n_targets"))
+    return references(nodes).join(sizes, ["repo", "name"]).select("repo", "source_id", "name", "n_targets")
+
+
+def named_calls(nodes: DataFrame) -> DataFrame:
+    """(repo, caller, callee, n_callers, n_callees, n_edges): the rule by names alone, where a name
+    whose symbols mention another leads from every symbol of the one to every symbol of the other.
+    One row for a pair of names. A symbol that mentions its own name counts unless it stands in the
+    file of the last symbol of that name; nothing leads to itself."""
+    symbols = nodes.where(F.col("kind").isin("FUNCTION", "CLASS", "METHOD", "CHUNK") & F.col("name").isNotNull())
+    names = symbols.groupBy("repo", "name").agg(F.count("*").alias("n"), F.max(F.struct("id", "file_path")).alias("x")).select("repo", "name", "n", F.col("x.file_path").alias("last_file"))
+    words = symbols.where("full_body is not null").select("repo", F.col("name").alias("caller"), "file_path", F.explode(F.array_distinct(F.regexp_extract_all("full_body", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("callee"))
+    met = words.join(names.where("name <> 'unknown'").withColumnsRenamed({"name": "callee", "n": "n_callees"}), ["repo", "callee"])
+    pairs = met.where(~((F.col("caller") == F.col("callee")) & F.col("file_path").eqNullSafe(F.col("last_file")))).select("repo", "caller", "callee", "n_callees").distinct()
+    edges = F.col("n_callers") * F.col("n_callees") - F.when(F.col("caller") == F.col("callee"), F.col("n_callers")).otherwise(0)
+    return pairs.join(names.select("repo", F.col("name").alias("caller"), F.col("n").alias("n_callers")), ["repo", "caller"]).select("repo", "caller", "callee", "n_callers", "n_callees", edges.alias("n_edges")).where("n_edges > 0")
+
+
 def built(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of scanned files."""
     nodes = node_table(files, chunks_of(files))

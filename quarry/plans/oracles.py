@@ -169,7 +169,20 @@ SQL: dict[str, str] = {
  ends AS (SELECT id AS target_id, repo, array_to_string(parts[i:], '/') AS key FROM (SELECT id, repo, parts, unnest(range(1, len(parts) + 1)) AS i FROM stems)),
  asked AS (SELECT f.id AS source_id, m.repo, CASE WHEN contains(bare, '/') THEN regexp_replace(bare, '\\.\\w+$', '') ELSE replace(bare, '.', '/') END AS key FROM (SELECT *, regexp_replace(module, '^(?:\\.+/)*\\.*/?', '') AS bare FROM modules) m JOIN f USING (repo, relative_path))
  SELECT DISTINCT source_id, target_id FROM asked JOIN ends USING (repo, key) WHERE key <> '' AND source_id <> target_id""",
-    "q_contains_join": f"{G} SELECT DISTINCT c.id AS source_id, m.id AS target_id FROM n m JOIN n c ON c.repo = m.repo AND c.file_path = m.file_path AND c.name = m.enclosing_scope WHERE m.kind = 'METHOD' AND c.kind = 'CLASS'",
+    "q_contains_join": f"""{G}, c AS (SELECT * FROM n WHERE kind = 'CLASS'), m AS (SELECT * FROM n WHERE kind = 'METHOD')
+ SELECT DISTINCT c.id AS source_id, m.id AS target_id FROM m JOIN c ON c.repo = m.repo AND c.file_path = m.file_path AND c.name = m.enclosing_scope
+ UNION SELECT source_id, target_id FROM (SELECT c.id AS source_id, m.id AS target_id, row_number() OVER (PARTITION BY m.id ORDER BY c.end_line - c.start_line, c.id) AS k FROM m JOIN c ON c.repo = m.repo AND c.file_path = m.file_path WHERE m.enclosing_scope IS NULL AND m.start_line BETWEEN c.start_line AND c.end_line) WHERE k = 1""",
+    "q_contains_names": f"{G}, z AS (SELECT repo, name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY 1, 2), p AS (SELECT DISTINCT repo, enclosing_scope AS scope, name FROM n WHERE kind = 'METHOD' AND enclosing_scope IS NOT NULL) SELECT p.repo, p.scope, p.name, a.n AS n_sources, b.n AS n_targets, a.n * b.n AS n_edges FROM p JOIN z a ON a.repo = p.repo AND a.name = p.scope JOIN z b ON b.repo = p.repo AND b.name = p.name",
+    "q_imports_names": f"""{G}, {FILES}, asked AS (SELECT DISTINCT repo, relative_path, CASE WHEN ends_with(lower(relative_path), '.py') THEN translate(regexp_replace(module, '^\\.+', ''), '.\\', '//') WHEN starts_with(module, '.') THEN
+  list_reduce(string_split(regexp_extract(relative_path, '^(.*)/[^/]*$', 1) || '/' || module, '/'), lambda done, x: CASE WHEN x IN ('', '.') THEN done WHEN x = '..' THEN regexp_replace(done, '/?[^/]*$', '') WHEN done = '' THEN x ELSE done || '/' || x END, '')
+  ELSE translate(module, '.\\', '//') END AS module_key FROM modules)
+ SELECT asked.repo, module_key, f.id AS target_id, count(*) AS importers FROM asked JOIN f ON f.repo = asked.repo AND contains(f.relative_path, module_key) AND f.relative_path <> asked.relative_path WHERE module_key <> '' GROUP BY 1, 2, 3""",
+    "q_calls": f"""{G}, s AS (SELECT * FROM n WHERE {SYM}), w AS (SELECT repo, id, name, unnest(list_distinct(regexp_extract_all(full_body, '[A-Za-z_][A-Za-z0-9_]*'))) AS word FROM s WHERE full_body IS NOT NULL)
+ SELECT w.repo, w.id AS source_id, w.word AS name, count(*) AS n_targets FROM w JOIN s ON s.repo = w.repo AND s.name = w.word WHERE w.word IS DISTINCT FROM w.name GROUP BY 1, 2, 3""",
+    "q_calls_names": f"""{G}, s AS (SELECT * FROM n WHERE ({SYM} OR kind = 'CHUNK') AND name IS NOT NULL), z AS (SELECT repo, name, count(*) AS n, arg_max(file_path, id) AS last_file FROM s GROUP BY 1, 2),
+ w AS (SELECT repo, name AS caller, file_path, unnest(list_distinct(regexp_extract_all(full_body, '[\\p{{L}}\\p{{N}}_]+'))) AS callee FROM s WHERE full_body IS NOT NULL),
+ p AS (SELECT DISTINCT w.repo, caller, callee, z.n AS n_callees FROM w JOIN z ON z.repo = w.repo AND z.name = w.callee WHERE callee <> 'unknown' AND NOT (caller = callee AND w.file_path IS NOT DISTINCT FROM z.last_file))
+ SELECT * FROM (SELECT p.repo, caller, callee, z.n AS n_callers, n_callees, z.n * n_callees - CASE WHEN caller = callee THEN z.n ELSE 0 END AS n_edges FROM p JOIN z ON z.repo = p.repo AND z.name = p.caller) WHERE n_edges > 0""",
     "q_declares": f"""{G}, a AS (SELECT f.id AS source_id, count(*) AS n_derived FROM n s JOIN n f ON f.repo = s.repo AND f.file_path = s.file_path WHERE f.kind = 'FILE' AND s.kind NOT IN ('FILE', 'PACKAGE') GROUP BY 1), b AS (SELECT source_id, count(*) AS n_given FROM e WHERE kind = 'DECLARES' GROUP BY 1)
  SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(n_derived, 0) AS n_derived, coalesce(n_given, 0) AS n_given FROM a FULL JOIN b ON a.source_id = b.source_id""",
     "q_refs_equi": f"""{G}, s AS (SELECT * FROM n WHERE {SYM}), w AS (SELECT repo, id, name, unnest(list_distinct(regexp_extract_all(full_body, '[A-Za-z_][A-Za-z0-9_]*'))) AS word FROM s WHERE full_body IS NOT NULL)

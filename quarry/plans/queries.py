@@ -226,7 +226,18 @@ def q_imports_theta(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_contains_join(spark: SparkSession, d: str) -> DataFrame:
-    return build.contains(nodes(spark, d, "id", "kind", "name", "repo", "file_path", "enclosing_scope")).select("source_id", "target_id")
+    return build.contains(nodes(spark, d, "id", "kind", "name", "repo", "file_path", "enclosing_scope", "start_line", "end_line")).select("source_id", "target_id")
+
+
+@query
+def q_contains_names(spark: SparkSession, d: str) -> DataFrame:
+    return build.named_contains(nodes(spark, d, "id", "kind", "name", "repo", "enclosing_scope"))
+
+
+@query
+def q_imports_names(spark: SparkSession, d: str) -> DataFrame:
+    files = contents(spark, d)
+    return build.named_imports(files.select("id", "repo", "relative_path"), parse.imported(files))
 
 
 @query
@@ -242,6 +253,16 @@ def q_refs_equi(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("repo", "name").agg(F.count("*").alias("n_refs"), F.min("source_id").alias("first_ref"))
 
 
+@query
+def q_calls(spark: SparkSession, d: str) -> DataFrame:
+    return build.counted_calls(nodes(spark, d, "id", "kind", "name", "repo", "full_body"))
+
+
+@query
+def q_calls_names(spark: SparkSession, d: str) -> DataFrame:
+    return build.named_calls(nodes(spark, d, "id", "kind", "name", "repo", "file_path", "full_body"))
+
+
 @query
 def q_py_chunks(spark: SparkSession, d: str) -> DataFrame:
     return parse.chunks_of(contents(spark, d).where("language = 'python'")).select("repo", "file_path", "start_line", "end_line", "kind", "name", "enclosing_scope", "signature", "token_count_skeleton", "token_count_full")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,25 @@ def latest(files: DataFrame) -> DataFrame:
     return files.where("repo is not null and relative_path is not null").groupBy("repo", "relative_path").agg(last).select("repo", "relative_path", F.col("last.content_hash").alias("content_hash"))
 
 
+def save_snapshot(files: DataFrame, folder: str) -> None:
+    """Keep a snapshot (repo, relative_path, content_hash) for the next difference."""
+    files.select("repo", "relative_path", "content_hash").write.mode("overwrite").parquet(folder)
+
+
+def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot kept in a folder; none where it is missing or can't be read."""
+    schema = "repo string, relative_path string, content_hash string"
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 class GraphStore:
-    """Nodes and edges as Parquet, partitioned by kind so that a lookup by kind reads its files."""
+    """Nodes and edges as Parquet, partitioned by kind so that a lookup by kind reads its files.
+
+    There are two places for them. A write fills the one that is not in use and then appends a row to
+    ``versions``, which readers follow: one that fails half-way changes nothing."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -56,25 +74,31 @@ class GraphStore:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except Exception as error:  # noqa: BLE001
+        except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def version(self) -> int:
+        """The number of the last write that was finished, 0 before the first."""
+        return self._read("versions", "version long").agg(F.max("version")).first()[0] or 0
+
     def nodes(self) -> DataFrame:
         """The nodes, or none where nothing was written."""
-        return self._read("nodes", NODE_SCHEMA)
+        return self._read(f"nodes_{self.version() % 2}", NODE_SCHEMA)
 
     def edges(self) -> DataFrame:
         """The edges whose ends are both among the nodes."""
         ids = self.nodes().select("id")
-        raw = self._read("edges", EDGE_SCHEMA)
+        raw = self._read(f"edges_{self.version() % 2}", EDGE_SCHEMA)
         return raw.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "kind", "weight", "metadata")
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Replace both tables."""
-        nodes.repartition("kind").sortWithinPartitions("name").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/nodes")
-        edges.repartition("kind").sortWithinPartitions("source_id").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/edges")
+        """Replace both tables. Rows are gathered by kind; a kind too large for one task is split."""
+        version = self.version() + 1
+        nodes.hint("rebalance", "kind").sortWithinPartitions("kind", "name").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/nodes_{version % 2}")
+        edges.hint("rebalance", "kind").sortWithinPartitions("kind", "source_id").write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/edges_{version % 2}")
+        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
 
     def clear(self) -> None:
         """Empty both tables."""

@@ -100,3 +100,30 @@ def test_expressions_on_odd_input(spark):
     assert got == [(None, False), ("python", False), (None, False), (None, False), ("javascript", True), ("javascript", False), (None, True)]
     row = spark.sql("select 'getHTTPResponse __init__ A user_id' as t, '' as e, cast(null as string) as n").select(text.code_tokens("t"), text.code_tokens("e"), text.code_tokens("n")).first()
     assert row[0] == sorted(["get", "http", "response", "gethttpresponse", "__init__", "init", "user_id", "user", "id"]) and row[1] == [] and row[2] is None
+
+
+def test_name_rules_count_what_they_would_link(spark, project):
+    files = scan.scanned(spark, project, "demo")
+    nodes, edges = build.built(files)
+    pairs = {(r.scope, r.name): r.n_edges for r in build.named_contains(nodes).collect()}
+    assert pairs["Cart", "__init__"] == 2 and pairs["Guest", "__init__"] == 2 and pairs["Cart", "sum"] == 1
+    ids = nodes.where("kind = 'FILE'").select("id", "repo", F.col("file_path").alias("relative_path"))
+    found = {(r.module_key, r.relative_path): r.importers for r in build.named_imports(ids, parse.imported(files)).join(ids.withColumnRenamed("id", "target_id").drop("repo"), "target_id").collect()}
+    assert found["price", "shop/price.py"] == 1 and found["tools/round", "tools/round.py"] == 1 and found["web/view", "web/view.js"] == 1 and not any(k == "json" for k, _ in found)
+    calls = {(r.caller, r.callee): r.n_edges for r in build.named_calls(nodes).collect()}
+    assert calls["sum", "total"] == 1 and calls["draw", "show"] == 1 and ("__init__", "__init__") not in calls and ("total", "total") not in calls
+    counted = build.counted_calls(nodes).agg(F.sum("n_targets")).first()[0]
+    assert counted == edges.where("kind = 'CALLS'").count()
+
+
+def test_snapshots_are_kept(spark, project, tmp_path):
+    files = scan.scanned(spark, project, "demo")
+    assert scan.load_snapshot(spark, str(tmp_path / "none")).count() == 0
+    scan.save_snapshot(files, str(tmp_path / "snap"))
+    assert {r.status for r in scan.snapshot_diff(scan.load_snapshot(spark, str(tmp_path / "snap")), files).collect()} == {"unchanged"}
+
+
+def test_methods_without_a_scope_belong_to_the_class_around_them(spark, make_nodes):
+    rows = [{"id": 1, "kind": "CLASS", "name": "A", "repo": "r", "file_path": "a.py", "start_line": 1, "end_line": 30}, {"id": 2, "kind": "CLASS", "name": "B", "repo": "r", "file_path": "a.py", "start_line": 5, "end_line": 12}]
+    rows += [{"id": 3, "kind": "METHOD", "name": "m", "repo": "r", "file_path": "a.py", "start_line": 6}, {"id": 4, "kind": "METHOD", "name": "n", "repo": "r", "file_path": "a.py", "start_line": 20}, {"id": 5, "kind": "METHOD", "name": "o", "repo": "r", "file_path": "b.py", "start_line": 6}]
+    assert {(r.source_id, r.target_id) for r in build.contains(make_nodes(rows)).collect()} == {(2, 3), (1, 4)}
