@@ -127,7 +127,7 @@ importwhat: n (, importmore)? | importmore | TYPEONLY
 importmore: '*' as name | '{' (spec (, spec?)*)? '}'
 spec: TYPEMOD (name | str) (as (name | str))?
 export_: export (default exported | '*' (as name)? from str SEMI | '{' (spec (, spec?)*)? '}' (from str)? SEMI | TSEXPORT | decl | ASYNCFN)
-exported: function '*'? n? funcrest | class_ | ABSTRACT class_ | assign SEMI
+exported: function '*'? n? funcrest | class_ | ABSTRACT class_ | TSSTMT | assign SEMI
 ASYNCFN: async function '*'? n? funcrest
 expr: assign (, assign)*
 assign: yield '*'? assign? | operand tail
@@ -182,7 +182,7 @@ TYPEANN: (: type)?
 TSCAST: < tparam (, tparam?)* > operand
 PARAMNAME: (n | READONLY)+
 TPARAMS: (< tparam (, tparam?)* >)?
-tparam: type (= type)?
+tparam: const? type (= type)?
 TARGS: (< type (, type)* >)?
 IMPLEMENTS: (IMPL type (, type)*)?
 FUNCBODY: block | SEMI
@@ -296,7 +296,7 @@ stmt: block | ; | if '(' expr ')' stmt (else stmt)? | for '(' forhead ')' stmt |
 stmtrest: n dims (= init)? (, n dims (= init)?)* ; | : stmt | ;
 resource: (final | annotation)* expr (n = expr)?
 switch_: switch '(' expr ')' '{' (case caselabel (, caselabel)* (: stmt* | -> arm) | default (: stmt* | -> arm))* '}'
-caselabel: ternary n? | default
+caselabel: ternary n? (n ternary)? | default
 arm: block | throw expr ; | expr ;
 forhead: ; expr? ; exprs? | (final | annotation)* expr forrest
 forrest: n dims (: expr | (= init)? (, n dims (= init)?)* ; expr? ; exprs?) | (, expr)* ; expr? ; exprs?

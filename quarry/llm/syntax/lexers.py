@@ -117,6 +117,91 @@ def python_lines(text: str) -> tuple[list[str], list[int]]:
     return out, numbers
 
 
+OPENS, CLOSES = frozenset("([{"), frozenset(")]}")
+NO_TARGET = frozenset("BIN - + / ~ ** and or_ or not in is if else yield await | @ := lambda num str lit ...".split())
+PLAIN_STATEMENT = frozenset("n ( [ { * num str lit ... - + ~ yield".split())
+
+
+def split_at(tokens: list[str], mark: str) -> list[list[str]]:
+    """Parts of tokens between the marks outside of all brackets."""
+    out: list[list[str]] = [[]]
+    depth = 0
+    for t in tokens:
+        depth += DEPTH.get(t, 0)
+        if t == mark and depth == 0:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return out
+
+
+def assignable(tokens: list[str]) -> bool:
+    """Whether something can be assigned to what the tokens say: names, attributes, items, and lists
+    of such."""
+    for part in split_at(tokens, ","):
+        part = part[1:] if part[:1] == ["*"] else part
+        if not part:
+            continue
+        top, depth = [], 0
+        for t in part:
+            depth -= t in CLOSES
+            if depth == 0:
+                top.append(t)
+            depth += t in OPENS
+        if top in (["(", ")"], ["[", "]"]):
+            if not assignable(part[1:-1]):
+                return False
+        elif top[-1] in (")", "}") or top[-1] in NO_TARGET or len(top) > 1 and any(t in NO_TARGET and t not in ("num", "str", "lit", "...", "await") for t in top) or top[-1] == "]" and len(top) == 2:
+            return False
+    return True
+
+
+def broken_rule(line: str) -> bool:
+    """Whether a logical line of Python breaks a rule that its grammar leaves open: what can be
+    assigned to, positional after named arguments, parameters without a default after such with one."""
+    tokens = [t for t in line.split() if t not in ("IN", "DE", "NL")]
+    if "=" in tokens or "AUG" in tokens:
+        for part in split_at(tokens, ";"):
+            while ":" in part and part[0] in ("if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async", "CASE", "MATCH"):
+                head = split_at(part, ":")
+                part = [] if "lambda" in head[0] else part[len(head[0]) + 1 :]
+            if part and part[0] in PLAIN_STATEMENT and "lambda" not in part:
+                sides = split_at([("=" if t == "AUG" else t) for t in part], "=")
+                sides = [split_at(sides[0], ":")[0], *sides[1:]]
+                if not all(assignable(x) for x in sides[:-1]):
+                    return True
+    stack: list[tuple[str, int]] = []
+    if "=" in tokens and "(" in tokens:
+        for i, t in enumerate(tokens):
+            if t in OPENS:
+                kind = ""
+                if t == "(" and i:
+                    named = tokens[i - 1] == "n" and i > 1 and tokens[i - 2] == "def"
+                    kind = "params" if named else "args" if tokens[i - 1] in ("n", ")", "]") else ""
+                stack.append((kind, i + 1))
+            elif t in CLOSES and stack:
+                kind, begin = stack.pop()
+                if kind and bad_order(split_at(tokens[begin:i], ","), kind == "params"):
+                    return True
+    return False
+
+
+def bad_order(parts: list[list[str]], parameters: bool) -> bool:
+    given = False
+    for part in parts:
+        if not part or part[0] == "/":
+            continue
+        if part[0] in ("*", "**"):
+            if parameters:
+                return False  # after a star any order is right
+            given = given or part[0] == "**"
+        elif parameters and "=" in part or not parameters and part[:2] == ["n", "="]:
+            given = True
+        elif given:
+            return True
+    return False
+
+
 NOT_SUBJECT = frozenset(": = . , ; ) ] } BIN AUG := @ | in is and or_ if".split())
 
 
@@ -143,6 +228,8 @@ JS_TOKEN = re.compile(
     r"\A\#![^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\n|" + STRING + "|" + JS_TEMPLATE + "|" + JS_REGEX + r"|\#?[^\W\d][\w$]*|\$[\w$]*|" + NUMBER + r"n?\w*"
     r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|<<|[-+*/%&|^~<>=.,:;()\[\]{}?!@]|[^\s]",
 )
+# Where a pattern after a closing parenthesis is not read as a division, as after a condition.
+AFTER_CONDITION = re.compile(r"\)[ \t]*/(?![*/])")
 TS_TOKEN = re.compile(JS_TOKEN.pattern.replace(r">>>=|", "").replace(r"|>>=", "").replace("|>=", ""))
 JSX_TOKEN, TSX_TOKEN = (re.compile(p.pattern.replace("/(?![*/])", "/(?![*/>])")) for p in (JS_TOKEN, TS_TOKEN))
 JS_KEYWORDS = words("if else for while do return throw break continue switch case default try catch finally debugger function class var const let new typeof void delete await yield in instanceof this super import export extends async") | {
@@ -186,12 +273,35 @@ OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 TYPE_TOKENS = frozenset("n . , [ ] | & str num lit { } : ; void this typeof => ( ) ? - w:keyof w:readonly w:is tmpl = extends w:infer w:unique new".split())
 
 
-def script_lines(text: str, typed: bool, embedded: bool) -> list[str]:
+ENDS_OPERAND = frozenset("n num str tmpl regex lit this super ) ] } PRIV".split())
+
+
+def settle_scripts(kinds: list[str], typed: bool) -> None:
+    """An increment on a line of its own begins a statement; a constant without a value and a value
+    assigned to a literal become errors, where no type or class can make them something else."""
+    classes = typed or "class" in kinds
+    last = ""
+    for i, k in enumerate(kinds):
+        if k in ("++", "--") and i and kinds[i - 1] == "\n" and last in ENDS_OPERAND:
+            kinds[i] = "; " + k
+        elif not typed and k == "const" and i + 1 < len(kinds) and kinds[i + 1] == "n" and following(kinds, i + 1) not in ("=", "of", "in", "w:of"):
+            kinds[i] = "ERR"
+        elif not classes and k == "=" and last in ("num", "str", "tmpl", "lit") and (i < 2 or kinds[i - 2] in ("\n", ";", "{", "}")):
+            kinds[i] = "ERR"
+        if k != "\n":
+            last = k
+
+
+def script_lines(text: str, typed: bool, embedded: bool, patterns_follow: bool = False) -> list[str]:
     """Physical lines of token kinds. Parentheses of arrow parameters, type arguments of calls
-    and words that are keywords only in places are told apart by what stands around them."""
+    and words that are keywords only in places are told apart by what stands around them. With
+    ``patterns_follow`` a slash after a closing parenthesis begins a regular expression."""
     pattern = (TSX_TOKEN if typed else JSX_TOKEN) if embedded and "/>" in text else TS_TOKEN if typed else JS_TOKEN
+    if patterns_follow:
+        text = AFTER_CONDITION.sub(lambda m: ")\f  /", text)  # two blanks before a slash read as the start of one
     tokens = pattern.findall(text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿"))
     kinds = [k for k in map(JS_KINDS.__getitem__, tokens) if k]
+    settle_scripts(kinds, typed)
     if "=>" in kinds:
         arrows(kinds, typed)
     if any(k[0] == "w" and k[:2] == "w:" for k in kinds):
@@ -490,7 +600,7 @@ def java_kind(t: str) -> str:
         return "\n" if t[1] == "*" and "\n" in t else ""
     if c.isdigit() or c == "." and len(t) > 1:
         return "num" if JAVA_NUMBER.fullmatch(t) else "ERR"
-    if t in ("yield", "record"):
+    if t in ("yield", "record", "permits"):
         return "w:" + t
     return "n" if c == "$" or c.isidentifier() else "ERR"
 
@@ -504,11 +614,13 @@ def java_lines(text: str) -> list[str]:
     for i, k in enumerate(kinds):
         if k == "w:yield":
             kinds[i] = "yieldx" if (i and kinds[i - 1] in (";", "{", "}", ":", "->", "\n")) and following(kinds, i) in ("n", "num", "str", "char", "lit", "new", "this", "!", "-", "switch", "w:yield", "w:record") else "n"
+        elif k == "w:permits":
+            kinds[i] = "permits" if i and kinds[i - 1] in ("n", ">", ">T", ")") and following(kinds, i) == "n" else "n"
         elif k == "w:record":
             kinds[i] = "RECORD" if following(kinds, i) == "n" and (not i or kinds[i - 1] in (";", "{", "}", "\n", "MOD", "static", "final", ")")) else "n"
         if k == "<" and i and kinds[i - 1] in ("n", ".", "MOD", "static", "final", "\n", "new"):
             stack = []
-            for j in range(i, min(i + 80, len(kinds))):
+            for j in range(i, len(kinds)):
                 t = kinds[j]
                 if t == "<":
                     stack.append(j)

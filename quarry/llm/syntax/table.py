@@ -1,8 +1,8 @@
 """Predictive parse tables from grammars, and a pushdown parser that remembers whole lines.
 
 A grammar is text: ``name: alternatives`` with ``( ) * + ? |``; names that have no rule are
-terminals. Where two alternatives can begin with the same token the earlier one wins, and an
-alternative that may be empty is taken when no other fits.
+terminals. Where two alternatives can begin with the same token the earlier one wins and the
+table lists the conflict; an alternative that may be empty is taken when no other fits.
 
 The parser's state is its stack, kept as interned linked nodes, so a state is one number. What a
 line of token kinds does to a state is remembered; code repeats its line shapes, so most lines
@@ -93,6 +93,8 @@ class Grammar:
                             changed = True
                     changed |= len(first[n]) != before
         self.table: dict[str, dict[str, list[str]]] = {}
+        #: Where two alternatives begin with the same token: (rule, token), settled by their order.
+        self.conflicts: list[tuple[str, str]] = []
         self.default: dict[str, list[str] | None] = {}
         for n, alternatives in self.rules.items():
             row: dict[str, list[str]] = {}
@@ -106,6 +108,8 @@ class Grammar:
                 else:
                     empty = alternative if empty is None else empty
                 for t in starts:
+                    if t in row:
+                        self.conflicts.append((n, t))
                     row.setdefault(t, alternative[::-1])
             self.table[n] = row
             self.default[n] = empty[::-1] if empty is not None else None

@@ -12,6 +12,7 @@ import json
 import tomllib
 import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,6 +74,7 @@ class Checker:
 
     def __init__(self) -> None:
         self.parsers: dict[str, Parser] = {}
+        self.broken = lru_cache(maxsize=200_000)(lexers.broken_rule)
 
     def parser(self, language: str) -> Parser:
         if language not in self.parsers:
@@ -96,8 +98,13 @@ class Checker:
         if language in COMMENT_ONLY_EMPTY and not any(x.strip(" ;") for x in lines[:-1]) and lines[-1].strip() == "EOF":
             return 0
         at = self.parser(language).parse(lines)
+        if at < 0 and language == "python":
+            at = next((i for i, line in enumerate(lines) if "=" in line and self.broken(line) or "AUG" in line and self.broken(line)), -1)
         if at < 0:
             return 0
+        if language in ("javascript", "typescript") and lexers.AFTER_CONDITION.search(text):
+            if self.parser(language).parse(lexers.script_lines(text, language == "typescript", suffix != ".ts", patterns_follow=True)) < 0:
+                return 0
         if language in STRICT and STRICT[language](text):
             return 0
         if language in TOKENS:
