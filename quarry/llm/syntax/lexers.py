@@ -171,7 +171,7 @@ def broken_rule(line: str) -> bool:
                 if not all(assignable(x) for x in sides[:-1]):
                     return True
     stack: list[tuple[str, int]] = []
-    if "=" in tokens and "(" in tokens:
+    if "(" in tokens and ("=" in tokens or "**" in tokens):
         for i, t in enumerate(tokens):
             if t in OPENS:
                 kind = ""

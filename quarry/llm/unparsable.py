@@ -99,7 +99,7 @@ class Checker:
             return 0
         at = self.parser(language).parse(lines)
         if at < 0 and language == "python":
-            at = next((i for i, line in enumerate(lines) if "=" in line and self.broken(line) or "AUG" in line and self.broken(line)), -1)
+            at = next((i for i, line in enumerate(lines) if ("=" in line or "AUG" in line or "**" in line) and self.broken(line)), -1)
         if at < 0:
             return 0
         if language in ("javascript", "typescript") and lexers.AFTER_CONDITION.search(text):
