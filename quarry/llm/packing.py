@@ -2,8 +2,8 @@
 
 Method: pattern packing. The histogram of lengths (at most as many rows as the capacity) goes to
 the driver; patterns of a few lengths that fill a container are enumerated there; non-negative
-least squares fits how often each pattern repeats; the counts are rounded down and the residual
-histogram is packed pattern by pattern, largest first. The plan that comes out is bounded by the
+least squares fits how often each pattern repeats; the counts are rounded down, what is left is
+fitted again, and the last residuals are packed largest first. The plan that comes out is bounded by the
 capacity, not by the data. Documents are ranked within their length in parallel and find their
 container by rank.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import cut
+
 CAPACITY = 2048
 VOCABULARY = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this family split texts.
@@ -28,21 +31,29 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 BUCKETS = 64
 
 
-def encoding(path: str):
-    """The public tokenizer whose vocabulary file is at ``path``."""
+_CODERS: dict[int, object] = {}
+
+
+def encoding(vocabulary: bytes):
+    """The public tokenizer whose vocabulary file holds these bytes; built once in a process."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    key = hash(vocabulary)
+    if key not in _CODERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _CODERS[key] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _CODERS[key]
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens) of each document. A null, empty or unencodable text takes one token, as
-    the end mark of an empty document would."""
+    the end mark of an empty document would. The driver reads the vocabulary, a file of some two
+    megabytes, and sends it to the workers."""
+    with open(vocabulary, "rb") as file:
+        shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoding(vocabulary)
+        coder = encoding(shared.value)
         for batch in batches:
             sizes = [max(1, sum(len(coder.encode_ordinary(x)) for x in runs(t))) if t else 1 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes})
@@ -50,47 +61,55 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, tokens long")
 
 
-def runs(text: str, most: int = 200_000) -> Iterator[str]:
-    """The whole text in stretches that end at line breaks where there are any, since the encoder
-    is slow on very long stretches."""
+LINE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+
+
+def runs(text: str, least: int = 100_000) -> Iterator[str]:
+    """The whole text in stretches of at least ``least`` characters. They end at a line break between
+    two marks, which no token spans, so the tokens are those of the whole."""
     at = 0
-    while len(text) - at > most:
-        cut = text.rfind("\n", at, at + most) + 1 or at + most
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > least and (m := LINE_BREAK.search(text, at + least)):
+        yield text[at : m.end()]
+        at = m.end()
     yield text[at:]
 
 
+#: Patterns that are drawn for each length, most documents that a pattern draws, and the drawing's seed.
+DRAWS, DRAWN, SEED = 24, 12, 7
+
+
 def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Combinations of one to four lengths, as indices, that nearly fill a container. Each length
-    is combined with the lengths that leave least room for it, alone, in pairs and in threes."""
+    """Combinations of a few lengths, as indices, that fill a container: each length alone and repeated,
+    with the lengths that leave least room for it, alone and in pairs, and with lengths drawn as often
+    as they occur until one or two can fill what is left."""
+    size = lengths.tolist()
+    fits = (np.searchsorted(lengths, np.arange(capacity + 1), side="right") - 1).tolist()  # the longest length within a room
+    share = counts / counts.sum()
     out: set[tuple[int, ...]] = set()
-    order = np.argsort(-counts)[:48]  # partners are looked for among the commonest lengths
-    partners = sorted(set(order.tolist()) | set(range(0, len(lengths), max(1, len(lengths) // 48))))
 
-    def fitting(room: int) -> int:
-        return int(np.searchsorted(lengths, room, side="right")) - 1
+    def finished(base: tuple[int, ...], left: int) -> None:
+        k = fits[left]
+        if k < 0 or left - size[k] <= capacity // 256:
+            out.add(tuple(sorted((*base, k) if k >= 0 else base)))
+        half = fits[left // 2]
+        if half >= 0 and (m := fits[left - size[half]]) >= 0:
+            out.add(tuple(sorted((*base, half, m))))
 
-    for i, length in enumerate(lengths):
-        room = capacity - int(length)
+    picked = np.random.default_rng(SEED).choice(len(size), size=(len(size), DRAWS, DRAWN), p=share).tolist()
+    for i, length in enumerate(size):
         out.add((i,))
-        repeat = capacity // int(length)
-        if 2 <= repeat <= 8:
+        repeat = min(8, capacity // length, int(counts[i]))
+        if repeat >= 2:
             out.add((i,) * repeat)
-        best = fitting(room)
-        for j in range(best, max(-1, best - 3), -1):
-            out.add(tuple(sorted((i, j))))
-        for j in partners:
-            left = room - int(lengths[j])
-            if left < 0:
-                break
-            k = fitting(left)
-            if k >= 0:
-                out.add(tuple(sorted((i, j, k))))
-                half = fitting(left // 2)
-                if half >= 0:
-                    m = fitting(left - int(lengths[half]))
-                    out.add(tuple(sorted((i, j, half, m))))
+        finished((i,), capacity - length)
+        for draw in picked[i]:
+            base, left = [i], capacity - length
+            for k in draw:
+                if left < size[k] or left <= 2 * size[-1] and fits[left] >= 0 and left - size[fits[left]] == 0:
+                    break
+                base.append(k)
+                left -= size[k]
+            finished(tuple(base), left)
     return sorted(out)
 
 
@@ -121,35 +140,42 @@ def fit(columns: list[tuple[int, ...]], lengths: np.ndarray, counts: np.ndarray,
     return x * scale
 
 
-def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern of lengths, repeats) that together hold exactly the histogram's items."""
+def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int, bool]]:
+    """(pattern of lengths, repeats, whether fitted) that together hold exactly the histogram's items;
+    those that aren't fitted hold what rounding left.
+
+    What rounding leaves is fitted again, with patterns of the lengths that are left, as long as that
+    places a twentieth of it; only then the rest is packed, the largest first."""
     histogram = sorted((int(a), int(b)) for a, b in histogram if b > 0)
     if not histogram:
         return []
     lengths = np.array([a for a, _ in histogram])
-    counts = np.array([b for _, b in histogram])
+    left = np.array([b for _, b in histogram])
     if lengths[0] < 1 or lengths[-1] > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    columns = patterns(lengths, counts, capacity)
-    fitted = fit(columns, lengths, counts, capacity)
-    left = counts.copy()
-    out: dict[tuple[int, ...], int] = {}
-    room = np.array([capacity - int(lengths[list(c)].sum()) for c in columns])
-
-    def take(column: tuple[int, ...], most: int) -> None:
-        need = np.bincount(column, minlength=len(lengths))
-        used = np.flatnonzero(need)
-        n = min(most, int((left[used] // need[used]).min()))
+    out: dict[tuple[tuple[int, ...], bool], int] = {}
+
+    def take(column: tuple[int, ...], most: int, fitted: bool) -> None:
+        used, need = np.unique(column, return_counts=True)
+        n = min(most, int((left[used] // need).min()))
         if n > 0:
-            left[used] -= n * need[used]
-            out[column] = out.get(column, 0) + n
-
-    for j in np.lexsort((-fitted, room)):
-        if fitted[j] >= 1 and room[j] <= capacity // 64:
-            take(columns[j], int(fitted[j]))
-    for j in np.lexsort((-fitted, room)):  # what rounding left of patterns without waste
-        if room[j] == 0 and fitted[j] > 0:
-            take(columns[j], int(fitted[j]) + 1)
+            left[used] -= n * need
+            out[column, fitted] = out.get((column, fitted), 0) + n
+
+    before = -1
+    while left.any() and (before < 0 or left.sum() <= 0.95 * before):
+        before = left.sum()
+        here = np.flatnonzero(left)
+        local = patterns(lengths[here], left[here], capacity)
+        repeats = fit(local, lengths[here], left[here], capacity)
+        columns = [tuple(here[list(c)].tolist()) for c in local]
+        room = np.array([capacity - int(lengths[list(c)].sum()) for c in columns])
+        for j in np.lexsort((-repeats, room)):
+            if repeats[j] >= 1 and room[j] <= capacity // 64:
+                take(columns[j], int(repeats[j]), True)
+        for j in np.lexsort((-repeats, room)):  # what rounding left of patterns without waste
+            if room[j] == 0 and repeats[j] > 0:
+                take(columns[j], int(repeats[j]) + 1, True)
     while left.any():  # residuals: the largest first, with whatever fits best beside it
         filled: list[int] = []
         space = capacity
@@ -163,12 +189,13 @@ def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tup
             filled.append(k)
             remaining[k] -= 1
             space -= int(lengths[k])
-        take(tuple(sorted(filled)), int(left.max()))
-    return [(tuple(int(lengths[i]) for i in c), n) for c, n in sorted(out.items())]
+        take(tuple(sorted(filled)), int(left.max()), False)
+    return [(tuple(int(lengths[i]) for i in c), n, fitted) for (c, fitted), n in sorted(out.items())]
 
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, part_no, container, position, tokens, container_tokens, fill) for every document.
+    """(doc_id, part_no, container, position, tokens, container_tokens, fill, fitted) for every
+    document; ``fitted`` tells containers of the fitted patterns from those of the residuals.
 
     A text within the capacity has one part; a larger one fills containers of its own with all
     parts but the last, which is packed like any text. Positions count from 0 in a container.
@@ -182,8 +209,6 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     last = F.col("tokens") - whole * capacity
     parts = F.concat(F.array_repeat(F.lit(capacity).cast("long"), whole.cast("int")), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<long>")))
     parts = counted.select("doc_id", F.posexplode(parts).alias("part_no", "size")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(BUCKETS)).cast("int"))
-    from quarry.runtime import cut
-
     parts = cut(parts)
     counts = parts.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -191,19 +216,19 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     made = plan(histogram, capacity)
 
     # Slots of each length in rank order: first rank, pattern's first container, place, copies in a pattern.
-    slots: list[tuple[int, int, int, int, int, int]] = []
+    slots: list[tuple[int, int, int, int, int, int, int]] = []
     taken: dict[int, int] = {}
     base = 0
-    for pattern, repeats in made:
+    for pattern, repeats, fitted in made:
         place = 0
         total = sum(pattern)
         for size in sorted(set(pattern), reverse=True):
             copies = pattern.count(size)
-            slots.append((size, taken.get(size, 0), base, place, copies, total))
+            slots.append((size, taken.get(size, 0), base, place, copies, total, int(fitted)))
             taken[size] = taken.get(size, 0) + copies * repeats
             place += copies
         base += repeats
-    table = np.array(sorted(slots), dtype=np.int64).reshape(-1, 6)
+    table = np.array(sorted(slots), dtype=np.int64).reshape(-1, 7)
     sizes, starts = np.unique(table[:, 0], return_index=True)
     bounds = {int(s): (int(a), int(b)) for s, (a, b) in zip(sizes, pairwise([*starts.tolist(), len(table)]), strict=True)}
     shared = spark.sparkContext.broadcast((table, bounds))  # bounded by the capacity: the plan's slots
@@ -222,19 +247,18 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"], "part_no": batch["part_no"].astype("int64"), "container": slot[:, 2] + within // slot[:, 4],
-                    "position": slot[:, 3] + within % slot[:, 4], "tokens": size, "container_tokens": slot[:, 5], "fill": slot[:, 5] / capacity,
+                    "position": slot[:, 3] + within % slot[:, 4], "tokens": size, "container_tokens": slot[:, 5], "fill": slot[:, 5] / capacity, "fitted": slot[:, 6] == 1,
                 }
             )
 
     rank = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "part_no")) - 1 + F.col("offset")
     ranked = parts.join(offsets.select("size", "bucket", "offset"), ["size", "bucket"]).withColumn("rank", rank.cast("long")).select("doc_id", "part_no", "size", "rank")
-    return ranked.mapInPandas(place_rows, "doc_id long, part_no long, container long, position long, tokens long, container_tokens long, fill double")
+    return ranked.mapInPandas(place_rows, "doc_id long, part_no long, container long, position long, tokens long, container_tokens long, fill double, fitted boolean")
 
 
 def summary(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, parts, tokens, least_containers, mean_fill): what the packing used against the
-    number that no packing can go below."""
+    """(containers, parts, tokens, least_containers, mean_fill, fitted_share): what the packing used
+    against the number that no packing can go below, and the share of parts in fitted patterns."""
     total = F.sum("tokens")
-    return placed.agg(F.countDistinct("container").alias("containers"), F.count("*").alias("parts"), total.alias("tokens"), F.ceil(total / capacity).cast("long").alias("least_containers")).withColumn(
-        "mean_fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 6)
-    )
+    made = placed.agg(F.countDistinct("container").alias("containers"), F.count("*").alias("parts"), total.alias("tokens"), F.ceil(total / capacity).cast("long").alias("least_containers"), F.round(F.avg(F.col("fitted").cast("double")), 6).alias("fitted_share"))
+    return made.withColumn("mean_fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
