@@ -11,19 +11,67 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BRACED = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".go")
-SCRIPT = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-    r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)"
-    r"|(?P<regex>(?<=[=(,:\[!&|?{};])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
-    r"|(?P<mark>[{}()\[\]]|=>)",
-    re.S,
-)
+NEXT = re.compile(r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?)|(?P<template>`)|(?P<slash>/)|(?P<mark>[{}()\[\]]|=>)", re.S)
+INSIDE_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+", re.S)
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+WORD_BEFORE = re.compile(r"[\w$]+$")
+OPERATORS = frozenset("return typeof case in of do else void delete throw new instanceof yield await".split())
+
+
+class Token(NamedTuple):
+    kind: str
+    text: str
+    start: int
+    end: int
+
+
+def script_tokens(text: str, at: int = 0) -> Iterator[Token]:
+    """Comments, strings, templates (whole, whatever their expressions hold), regular expressions,
+    brackets and arrows of a brace language from an offset on. A slash begins a regular expression
+    unless an operand stands before it; an unclosed template ends with the text."""
+    templates: list[int] = []  # depth of braces in each open template's expression
+    began = 0
+    while m := NEXT.search(text, at):
+        kind, at = m.lastgroup, m.end()
+        if kind == "slash":
+            before = text[max(0, m.start() - 200) : m.start()].rstrip()
+            word = WORD_BEFORE.search(before)
+            operand = word.group() not in OPERATORS if word else before[-1:] in (")", "]", "}", '"', "'", "`")
+            found = None if operand else REGEX.match(text, m.start())
+            if found:
+                at = found.end()
+                if not templates:
+                    yield Token("regex", found.group(), m.start(), at)
+            continue
+        closing = False
+        if kind == "mark" and templates:
+            c = m.group()
+            templates[-1] += (c == "{") - (c == "}")
+            closing = templates[-1] < 0
+        if kind == "template" or closing:
+            if closing:
+                templates.pop()
+            elif not templates:
+                began = m.start()
+            at = INSIDE_TEMPLATE.match(text, at).end()
+            if text.startswith("${", at):
+                templates.append(0)
+                at += 2
+                continue
+            at = min(len(text), at + 1)
+            if not templates:
+                yield Token("string", text[began:at], began, at)
+        elif not templates:
+            yield Token(kind, m.group(), m.start(), at)
+
+
 PYTHON = re.compile(
     r"(?P<comment>\#[^\n]*)"
     r"|(?P<string>(?P<prefix>[rRuUbBfF]{0,2})(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))"
@@ -57,14 +105,14 @@ def script_comments(text: str) -> tuple[str, str, int, int]:
     the offsets of its body's braces. An unclosed body ends with the text."""
     before: list[str] = []
     depth, body, inner, arrow, last = 0, -1, [], False, 0
-    for m in SCRIPT.finditer(text):
-        gap = text[last : m.start()].strip()
-        last = m.end()
-        if m.lastgroup == "comment":
+    for m in script_tokens(text):
+        gap = text[last : m.start].strip()
+        first_token, last = last == 0 and not gap, m.end
+        if m.kind == "comment":
             if body >= 0 and not gap and depth == 1 and inner is not None:
-                inner.append(m.group())
-            elif body < 0 and not text[: m.start()].strip() or (body < 0 and before and not gap and depth == 0 and not arrow):
-                before.append(m.group())
+                inner.append(m.text)
+            elif body < 0 and first_token or (body < 0 and before and not gap and depth == 0 and not arrow):
+                before.append(m.text)
             continue
         if body >= 0:
             if gap or inner is not None:
@@ -73,7 +121,7 @@ def script_comments(text: str) -> tuple[str, str, int, int]:
                     doc = first
                     return "\n".join(before), "\n".join(doc), body, closing(text, body)
             return "\n".join(before), "", body, closing(text, body)
-        c = m.group("mark")
+        c = m.text if m.kind == "mark" else None
         if c == "=>":
             arrow = True
         elif c in ("(", "["):
@@ -81,9 +129,9 @@ def script_comments(text: str) -> tuple[str, str, int, int]:
         elif c in (")", "]"):
             depth -= 1
         elif c == "{":
-            before_brace = text[: m.start()].rstrip()
+            before_brace = text[: m.start].rstrip()
             if depth == 0 and (before_brace.endswith((")", "=>")) or not before_brace.endswith((":", "=", "<", ",", "|", "&"))):
-                body, depth, inner = m.start(), 1, []
+                body, depth, inner = m.start, 1, []
             else:
                 depth += 1
         elif c == "}":
@@ -94,34 +142,57 @@ def script_comments(text: str) -> tuple[str, str, int, int]:
 def closing(text: str, opening: int) -> int:
     """Offset after the brace that matches the one at ``opening``; the text's end if none does."""
     depth = 0
-    for m in SCRIPT.finditer(text, opening):
-        c = m.group("mark")
-        if c == "{":
+    for m in script_tokens(text, opening):
+        if m.text == "{":
             depth += 1
-        elif c == "}":
+        elif m.text == "}":
             depth -= 1
             if depth == 0:
-                return m.end()
+                return m.end
     return len(text)
 
 
 # Wording of tool directives, fillers and promises.
 DIRECTIVE = re.compile(r"(?i)^(?:eslint|tslint|jshint|jslint|prettier|istanbul|c8|webpack|@ts-|ts-|@flow|@jsx|noqa|type:\s*ignore|pylint|flake8|mypy|pragma|fmt:|isort|yapf|nosec|nolint|go:|sourceMappingURL|#?region|#?endregion|global\s|globals\s|!?/)")
 FILLER = re.compile(
-    r"(?i)^(?:todo|fixme|xxx|tbd|tba|hack|wip|n/?a|none|null|see above|see below|ditto|description|constructor|destructor|summary|docstring|placeholder|missing|empty|undocumented"
-    r"|no (?:doc|docs|documentation|description|docstring|comment)s?(?: yet| available)?|to be (?:done|documented|added|written).*|lorem ipsum.*|auto[- ]?generated (?:stub|method|function|doc|comment).*"
-    r"|(?:todo|fixme|xxx|tbd|hack)\b.*|(?:the )?(?:documentation|docs?|description|docstring|comment)s?\b.*\b(?:will|shall|to|soon|later|follow\w*|pending|missing)\b.*"
-    r"|(?:please )?(?:fill|write|add|insert|put)\b.*\b(?:description|documentation|docs?|docstring|comment|here)\b.*|(?:coming|more) (?:soon|later).*|.*\bfill in the description\b.*|.*\bwill be (?:added|documented|written|described)\b.*\b(?:later|soon|release|future|version)\b.*)[\s.!]*$"
+    r"(?i)(?:(?:todo|fixme|xxx|tbd|tba|hack|wip|n/?a|none|null|see above|see below|ditto|description|constructor|destructor|summary|docstring|placeholder|missing|empty|undocumented"
+    r"|no (?:doc|docs|documentation|description|docstring|comment)s?(?: yet| available)?)[\s.!]*+$|to be (?:done|documented|added|written)|lorem ipsum|auto[- ]?generated (?:stub|method|function|doc|comment)|(?:todo|fixme|xxx|tbd|hack)\b|(?:coming|more) (?:soon|later))"
+)
+# Promises of later documentation: what begins them, and what must follow.
+PROMISES = tuple(
+    (re.compile("(?i)" + a), re.compile("(?i)" + b))
+    for a, b in (
+        (r"(?:the )?(?:documentation|docs?|description|docstring|comment)s?\b", r"\b(?:will|shall|to|soon|later|follow\w*|pending|missing)\b"),
+        (r"(?:please )?(?:fill|write|add|insert|put)\b", r"\b(?:description|documentation|docs?|docstring|comment|here)\b"),
+    )
 )
+LATER = re.compile(r"(?i)\bfill in the description\b|\bwill be (?:added|documented|written|described)\b(?=[^\n]*\b(?:later|soon|release|future|version)\b)")
+#: Most words of a promise; a longer text says more than that documentation will come.
+PROMISED = 40
+
+
+def filler(line: str) -> bool:
+    """Whether a line says nothing, or only that documentation is to come."""
+    if FILLER.match(line):
+        return True
+    if len(WORDS.findall(line)) > PROMISED:
+        return False
+    return bool(LATER.search(line)) or any((m := begin.match(line)) and then.search(line, m.end()) for begin, then in PROMISES)
+
+
 TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|returns?|type|throws|exception|template|property|prop|yields?|see|since|author|deprecated|private|public|protected|override|static|async|function|method|class|constructor|memberof|name|example)\b|:(?:param|parameter|arg|type|returns?|rtype|raises?|yields?|var)\b[^:]*:)", re.I)
 SECTION = re.compile(r"^(?:args|arguments|params|parameters|returns?|raises|yields|throws|attributes|examples?|usage)\s*:?\s*$", re.I)
 SECTION_LINE = re.compile(r"^(?:args|arguments|params|parameters|returns?|raises|yields|throws)\s*:", re.I)
-CODE = re.compile(
-    r"^(?:.*[;{}]\s*$|(?:curl|wget|pip|npm|\$)\s.*|(?:const|let|var|return|import|from|def|class|if|for|while|elif|else|try|except|export|function|async|await|del|assert|raise|throw|print)\b.*[()\[\]{}=:;].*"
-    r"|[\w.\[\]'\"]+\s*(?:[-+*/|&]?=)\s*\S.*|[\w.]+\([^()]*\);?\s*$|[\])}]+[,;]?$)"
-)
-#: A line longer than this is neither a filler nor a statement commented out; matching stays linear.
-SHORT = 300
+COMMAND = re.compile(r"(?:curl|wget|pip|npm|\$)\s")
+STATEMENT = re.compile(r"(?:const|let|var|return|import|from|def|class|if|for|while|elif|else|try|except|export|function|async|await|del|assert|raise|throw|print)\b(?=[^\n]*[()\[\]{}=:;])")
+PLAIN_CODE = re.compile(r"[\w.\[\]'\"]++\s*+[-+*/|&]?=\s*+\S|[\w.]++\([^()]*+\);?\s*+$|[\])}]++[,;]?$")
+
+
+def code(line: str) -> bool:
+    """Whether a line is a statement that was commented out, however long."""
+    return line.rstrip()[-1:] in (";", "{", "}") and bool(line.strip()) or bool(COMMAND.match(line) or STATEMENT.match(line) or PLAIN_CODE.match(line))
+
+
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 HOLLOW = frozenset("this is the a an function method class constructor of for it its that procedure routine helper does do".split())
@@ -146,9 +217,9 @@ def clean(raw: str | None) -> str:
         if TAG.match(line) or SECTION.match(line) or SECTION_LINE.match(line):
             skipping = True
             continue
-        if skipping or DIRECTIVE.match(line) or len(bare) <= SHORT and FILLER.match(bare):
+        if skipping or DIRECTIVE.match(line) or filler(bare):
             continue
-        if len(line) <= SHORT and CODE.match(line) and (was_code_comment or not line.endswith(".")):
+        if code(line) and (was_code_comment or not line.endswith(".")):
             continue
         lines.append(line)
     return "\n".join(lines)
@@ -185,24 +256,24 @@ def comment_blocks(text: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     run: list[str] = []
     line, at, last = 1, 0, 0
-    for m in SCRIPT.finditer(text):
-        if m.lastgroup != "comment":
+    for m in script_tokens(text):
+        if m.kind != "comment":
             if run:
                 out.append((line, "\n".join(run)))
                 run = []
             continue
-        if run and text[last : m.start()].strip():
+        if run and text[last : m.start].strip():
             out.append((line, "\n".join(run)))
             run = []
-        alone = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
-        line += text.count("\n", at, m.end()) + 1
-        at = m.end()
+        alone = not text[text.rfind("\n", 0, m.start) + 1 : m.start].strip()
+        line += text.count("\n", at, m.end) + 1
+        at = m.end
         # the break that ends the comment's own line was counted in advance
-        nl = text.find("\n", m.end())
+        nl = text.find("\n", m.end)
         at = len(text) if nl < 0 else nl + 1
-        last = m.end()
+        last = m.end
         if alone:
-            run.append(m.group())
+            run.append(m.text)
     if run:
         out.append((line, "\n".join(run)))
     return out
