@@ -97,18 +97,38 @@ def adapted(requests: DataFrame, tasks: F.Column) -> DataFrame:
     return chosen.select(*requests.columns, "task", *[F.col("_s")[i].alias(n) for i, n in enumerate(("first_level", "last_level", "token_budget", "hops"))])
 
 
+def first_lines(frame: DataFrame, key: str, order: list[str], line: F.Column, most: int, name: str) -> DataFrame:
+    """(key, name, name_lines): how many rows a key has and a line for each of the first ``most`` in an
+    order. A key may hold a third of all rows: counts are combined map-side, and rows are ranked first
+    within parts of a key, of which only the first go on."""
+    counts = frame.groupBy(key).agg(F.count("*").alias(name))
+    part = frame.select(key, *order, line.alias("_line")).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    few = part.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_n") <= most)
+    best = few.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most)
+    shown = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n").alias(name + "_lines"))
+    return counts.join(shown, key, "left")
+
+
+def place_line() -> F.Column:
+    return F.concat(F.lit("- `"), F.col("name"), F.lit("` ("), F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("")), F.lit(")"))
+
+
 def delta_report(symbols: DataFrame, callers: DataFrame, repo: str = "repo") -> DataFrame:
     """(repo, symbols, callers, report): by repository the first ten changed symbols and the first
     ten callers to verify, a line each, by id."""
-    entry = F.concat(F.lit("- `"), F.col("name"), F.lit("` ("), F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("")), F.lit(")"))
-
-    def side(frame: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy(repo).orderBy("id")
-        counted = frame.withColumn("n", F.row_number().over(order)).withColumn("line", entry)
-        return counted.groupBy(repo).agg(F.count("*").alias(name), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 10, F.struct("n", "line")))), lambda x: x["line"]), "\n").alias(name + "_lines"))
-
-    joined = side(symbols, "symbols").join(side(callers, "callers"), repo, "full_outer")
+    joined = first_lines(symbols, repo, ["id"], place_line(), 10, "symbols").join(first_lines(callers, repo, ["id"], place_line(), 10, "callers"), repo, "full_outer")
     report = F.concat(F.lit("**Directly Modified Symbols:**\n"), F.coalesce("symbols_lines", F.lit("")), F.lit("\n**Impacted Callers Requiring Verification ("), F.coalesce("callers", F.lit(0)), F.lit("):**\n"), F.coalesce("callers_lines", F.lit("")))
     return joined.select(repo, F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("callers", F.lit(0)).alias("callers"), report.alias("report"))
 
 
+def impact_report(nodes: DataFrame, reached: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, changed, impacted, files, report): by repository the first ten changed symbols, fifteen
+    symbols that reach them by calls and ten files that import changed ones."""
+    known = reached.join(nodes, "id")
+    a = first_lines(known.where("depth = 0"), "repo", ["id"], place_line(), 10, "changed")
+    b = first_lines(known.where("depth > 0"), "repo", ["depth", "id"], place_line(), 15, "impacted")
+    c = first_lines(files, "repo", ["file_path"], F.concat(F.lit("- "), F.col("file_path")), 10, "files")
+    joined = a.join(b, "repo", "full_outer").join(c, "repo", "full_outer")
+    part = lambda title, name: F.concat(F.lit(f"**{title} ("), F.coalesce(name, F.lit(0)), F.lit("):**\n"), F.coalesce(name + "_lines", F.lit("")))
+    report = F.concat(part("Changed Symbols", "changed"), F.lit("\n"), part("Impacted Functions", "impacted"), F.lit("\n"), part("Importing Files", "files"))
+    return joined.select("repo", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("changed", "impacted", "files")], report.alias("report"))

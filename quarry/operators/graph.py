@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def kind_rank() -> F.Column:
     return F.when(F.col("kind") == "FUNCTION", 0).when(F.col("kind") == "CLASS", 1).when(F.col("kind") == "METHOD", 2).otherwise(3)
 
 
+def node(nodes: DataFrame, key: int) -> DataFrame:
+    """The node of an id, or none."""
+    return nodes.where(F.col("id") == key)
+
+
+def edges_between(edges: DataFrame, source: int | None = None, target: int | None = None) -> DataFrame:
+    """Edges that leave one node, reach one, or both; all where neither is given."""
+    out = edges if source is None else edges.where(F.col("source_id") == source)
+    return out if target is None else out.where(F.col("target_id") == target)
+
+
+def neighbours_of(nodes: DataFrame, edges: DataFrame, key: int, kind: str | None = None, direction: str = "both") -> DataFrame:
+    """The distinct nodes next to one node over edges of a kind or of any, ``outgoing``, ``incoming`` or
+    both ways. A node that points to itself is its own neighbour; an unknown id has none."""
+    usable = edges if kind is None else edges.where(F.col("kind") == kind)
+    ways = {"outgoing": [("source_id", "target_id")], "incoming": [("target_id", "source_id")]}.get(direction, [("source_id", "target_id"), ("target_id", "source_id")])
+    ids = reduce(DataFrame.unionByName, [usable.where(F.col(a) == key).select(F.col(b).alias("id")) for a, b in ways]).distinct()
+    return nodes.join(ids, "id", "left_semi")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, outgoing, incoming, neighbours): distinct nodes over edges of any kind, each way and
     both ways; a node that points to itself is its own neighbour."""

@@ -63,7 +63,7 @@ def reach_each(links: DataFrame, seeds: DataFrame, hops: int, allowed: Callable[
 
 def ego(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(id, depth) around a set of nodes, over edges of any kind both ways."""
-    return reach(steps(edges, "both"), seeds, hops)
+    return reach(cut(steps(edges, "both")), seeds, hops)
 
 
 def ego_each(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
@@ -92,14 +92,20 @@ def slice_lines(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def changed_symbols(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """Functions, classes and methods of the changed files (repo, file_path)."""
-    return nodes.where(F.col("kind").isin(*SYMBOLS)).join(changed, ["repo", "file_path"], "left_semi")
+    """Functions, classes and methods of the changed files (repo, file_path); where the files come with
+    line ranges (first_line, last_line), those that such a range touches."""
+    symbols = nodes.where(F.col("kind").isin(*SYMBOLS))
+    if "first_line" not in changed.columns:
+        return symbols.join(changed, ["repo", "file_path"], "left_semi")
+    a, b = symbols.alias("a"), changed.alias("b")
+    same = (F.col("a.repo") == F.col("b.repo")) & (F.col("a.file_path") == F.col("b.file_path"))
+    return a.join(b, same & (F.col("a.start_line") <= F.col("b.last_line")) & (F.col("a.end_line") >= F.col("b.first_line")), "left_semi")
 
 
 def impacted(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(id, depth) of the transitive callers, up to four hops, of what changed files hold; depth 0
     are the changed symbols themselves."""
-    return reach(steps(edges.where("kind = 'CALLS'"), "in"), changed_symbols(nodes, changed), SLICE_HOPS)
+    return reach(cut(steps(edges.where("kind = 'CALLS'"), "in")), changed_symbols(nodes, changed), SLICE_HOPS)
 
 
 def importing_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def delta_callers(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Dat
 
 def flow_layers(edges: DataFrame, seeds: DataFrame, each: bool = False) -> DataFrame:
     """(id, depth) over calls both ways, up to four layers; with ``each`` (seed, id, depth)."""
-    return (reach_each if each else reach)(steps(edges.where("kind = 'CALLS'"), "both"), seeds, FLOW_HOPS)
+    return (reach_each if each else reach)(cut(steps(edges.where("kind = 'CALLS'"), "both")), seeds, FLOW_HOPS)
 
 
 def flow_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:

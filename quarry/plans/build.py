@@ -88,25 +88,42 @@ def module_path(module: str, path: str) -> F.Column:
     return F.when(python, F.translate(F.regexp_replace(module, r"^\.+", ""), ".\\", "//")).when(F.col(module).startswith("."), resolved).otherwise(F.translate(module, ".\\", "//"))
 
 
-def named_imports(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """(repo, module_key, target_id, importers): the rule by text alone, where a module leads to every
-    file of the repository (id, repo, relative_path) whose path holds it anywhere. One row for a
-    module and a file, with the number of other files that import it.
+def held_in(asked: DataFrame, files: DataFrame, text: str) -> DataFrame:
+    """The rows of ``asked`` (repo, ``text``, ...) with each file (id as target_id, repo, relative_path) of
+    the repository whose path holds the text anywhere.
 
-    The substring test is an equi-join: paths are cut into pieces of a few lengths, a module is looked
+    The substring test is an equi-join: paths are cut into pieces of a few lengths, a text is looked
     up by the longest that it begins with, and only what that gives is compared."""
-    asked = modules.select("repo", "relative_path", module_path("module", "relative_path").alias("module_key")).where("module_key <> ''").distinct()
-    importers = asked.groupBy("repo", "module_key").agg(F.count("*").alias("n"))
-    size = F.length("module_key")
+    size = F.length(text)
     long = F.when(size >= 8, 8).when(size >= 4, 4).otherwise(size)
     cut_up = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("relative_path") - (g - 1))), lambda i: F.substring("relative_path", i, F.lit(g)))
     pieces = F.array_distinct(F.flatten(F.array(*[cut_up(g) for g in GRAMS])))
     held = files.select(F.col("id").alias("target_id"), "repo", "relative_path", F.explode(pieces).alias("piece"))
-    found = importers.withColumn("piece", F.substring("module_key", F.lit(1), long)).join(held, ["repo", "piece"]).where(F.col("relative_path").contains(F.col("module_key")))
+    return asked.withColumn("piece", F.substring(text, F.lit(1), long)).join(held, ["repo", "piece"]).where(F.col("relative_path").contains(F.col(text))).drop("piece")
+
+
+def named_imports(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """(repo, module_key, target_id, importers): the rule by text alone, where a module leads to every
+    file of the repository (id, repo, relative_path) whose path holds it anywhere. One row for a
+    module and a file, with the number of other files that import it."""
+    asked = modules.select("repo", "relative_path", module_path("module", "relative_path").alias("module_key")).where("module_key <> ''").distinct()
+    found = held_in(asked.groupBy("repo", "module_key").agg(F.count("*").alias("n")), files, "module_key")
     own = asked.withColumn("own", F.lit(1))
     return found.join(own, ["repo", "module_key", "relative_path"], "left").select("repo", "module_key", "target_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("importers")).where("importers > 0")
 
 
+def found_files(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(repo, text, id): the first file whose path holds a text (repo, text), by id."""
+    return held_in(asked.where("text <> ''").distinct(), files, "text").groupBy("repo", "text").agg(F.min("target_id").alias("id"))
+
+
+def from_chunks(chunks: DataFrame) -> DataFrame:
+    """Nodes of parsed chunks alone, without a scan: each is a CHUNK, whatever its kind; ids are the
+    chunks' own, null ids are left out and rows that repeat come once."""
+    columns = ["name", "repo", "file_path", "start_line", "end_line", "signature", "skeleton", "full_body", "docstring", "language", "enclosing_scope"]
+    return chunks.where("chunk_id is not null").select(F.col("chunk_id").alias("id"), F.lit("CHUNK").alias("kind"), *columns, F.col("kind").alias("symbol_kind"), "token_count_skeleton", "token_count_full").dropDuplicates(["id"])
+
+
 def references(nodes: DataFrame) -> DataFrame:
     """(repo, source_id, name): names of functions, classes and methods of the repository that occur
     as a word in a symbol's body, other than its own. Words are exploded once and joined by

@@ -156,6 +156,9 @@ SQL: dict[str, str] = {
     "q_neighbors": f"{G}, p AS (SELECT id, other, max(o) AS o, max(i) AS i FROM (SELECT source_id AS id, target_id AS other, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_id, source_id, 0, 1 FROM e) GROUP BY 1, 2) SELECT id, sum(o) AS outgoing, sum(i) AS incoming, count(*) AS neighbours FROM p GROUP BY id",
     "q_resolve_symbol": f"{G}, {RESOLVED} SELECT name, id, kind FROM resolved",
     "q_resolve_file": f"{G} SELECT name, min(id) AS id, count(*) AS candidates FROM n WHERE kind = 'FILE' GROUP BY name",
+    "q_find_file": f"{G}, f AS (SELECT id, repo, file_path FROM n WHERE kind = 'FILE'), a AS (SELECT DISTINCT repo, regexp_replace(split_part(file_path, '/', -1), '[._].*$', '') AS text FROM f WHERE id % 100 = 0) SELECT a.repo, a.text, min(f.id) AS id FROM a JOIN f ON f.repo = a.repo AND contains(f.file_path, a.text) WHERE a.text <> '' GROUP BY 1, 2",
+    "q_edge_lookup": f"{G} SELECT source_id, target_id, kind, weight FROM e WHERE source_id % 100 = 0 AND target_id % 10 = 0",
+    "q_from_chunks": "SELECT DISTINCT chunk_id AS id, 'CHUNK' AS kind, name, repo, file_path, kind AS symbol_kind, md5(full_body) AS digest FROM chunks WHERE chunk_id IS NOT NULL",
     "q_node_at_line": f"""{G}, t AS (SELECT id AS target, repo, file_path, start_line + 2 AS line FROM n WHERE id % 100 = 0 AND kind NOT IN ('FILE', 'PACKAGE') AND start_line IS NOT NULL)
  SELECT target, id FROM (SELECT t.target, c.id, c.kind, t.line BETWEEN c.start_line AND c.end_line AS inside, abs(c.start_line - t.line) AS far FROM t JOIN n c USING (repo, file_path) WHERE c.kind IN ('FUNCTION', 'CLASS', 'METHOD', 'CHUNK') AND c.start_line IS NOT NULL)
  WHERE inside OR kind <> 'CHUNK' QUALIFY row_number() OVER (PARTITION BY target ORDER BY inside DESC, far, {RANK}, id) = 1""",
@@ -199,6 +202,14 @@ SQL: dict[str, str] = {
     "q_slice_l4": f"""{G}, {FORTH}, {LINES}, c AS (SELECT repo, file_path, line, greatest(1, length(text) // 4) AS cost FROM slice_lines), u AS (SELECT *, sum(cost) OVER (PARTITION BY repo, file_path ORDER BY line) <= 780 AS fits FROM c)
  SELECT repo, file_path, count(*) FILTER (fits) AS kept, count(*) FILTER (NOT fits) AS dropped, coalesce(sum(cost) FILTER (fits), 0) + 10 AS tokens FROM u GROUP BY 1, 2""",
     "q_impact": f"{G}, {CHANGED}, " + reach("SELECT target_id AS id, source_id AS other, kind FROM e WHERE kind = 'CALLS'", f"SELECT id FROM n SEMI JOIN changed USING (repo, file_path) WHERE {SYM}", 4) + " SELECT id, depth FROM found",
+    "q_impact_lines": f"{G}, " + reach("SELECT target_id AS id, source_id AS other, kind FROM e WHERE kind = 'CALLS'", f"SELECT n.id FROM n JOIN chunks c ON c.repo = n.repo AND c.file_path = n.file_path AND n.start_line <= c.end_line AND n.end_line >= c.start_line WHERE c.chunk_id % 100 = 0 AND n.{SYM}", 4) + " SELECT id, depth FROM found",
+    "q_impact_report": f"{G}, {CHANGED}, " + reach("SELECT target_id AS id, source_id AS other, kind FROM e WHERE kind = 'CALLS'", f"SELECT id FROM n SEMI JOIN changed USING (repo, file_path) WHERE {SYM}", 4) + f""", line AS (SELECT n.id, repo, depth, '- `' || name || '` (' || coalesce(file_path, '') || ':' || coalesce(CAST(start_line AS VARCHAR), '') || ')' AS line FROM n JOIN found USING (id)),
+ hit AS (SELECT id FROM n SEMI JOIN changed USING (repo, file_path) WHERE kind = 'FILE'), i AS (SELECT DISTINCT repo, file_path FROM n ANTI JOIN changed USING (repo, file_path) WHERE kind = 'FILE' AND id IN (SELECT source_id FROM e WHERE kind = 'IMPORTS' AND target_id IN (SELECT id FROM hit))),
+ a AS (SELECT repo, count(*) AS c, string_agg(line, chr(10) ORDER BY id) FILTER (k <= 10) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS k FROM line WHERE depth = 0) GROUP BY repo),
+ b AS (SELECT repo, count(*) AS c, string_agg(line, chr(10) ORDER BY depth, id) FILTER (k <= 15) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth, id) AS k FROM line WHERE depth > 0) GROUP BY repo),
+ f AS (SELECT repo, count(*) AS c, string_agg('- ' || file_path, chr(10) ORDER BY file_path) FILTER (k <= 10) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS k FROM i) GROUP BY repo), r AS (SELECT repo FROM a UNION SELECT repo FROM b UNION SELECT repo FROM f)
+ SELECT r.repo, coalesce(a.c, 0) AS changed, coalesce(b.c, 0) AS impacted, coalesce(f.c, 0) AS files, '**Changed Symbols (' || coalesce(a.c, 0) || '):**' || chr(10) || coalesce(a.t, '') || chr(10) || '**Impacted Functions (' || coalesce(b.c, 0) || '):**' || chr(10) || coalesce(b.t, '') || chr(10) || '**Importing Files (' || coalesce(f.c, 0) || '):**' || chr(10) || coalesce(f.t, '') AS report
+ FROM r LEFT JOIN a USING (repo) LEFT JOIN b USING (repo) LEFT JOIN f USING (repo)""",
     "q_impact_files": f"{G}, {CHANGED}, hit AS (SELECT id FROM n SEMI JOIN changed USING (repo, file_path) WHERE kind = 'FILE') SELECT DISTINCT repo, file_path FROM n ANTI JOIN changed USING (repo, file_path) WHERE kind = 'FILE' AND id IN (SELECT source_id FROM e WHERE kind = 'IMPORTS' AND target_id IN (SELECT id FROM hit))",
     "q_delta": f"{G}, {CHANGED}, {DELTA} SELECT id FROM delta",
     "q_delta_markdown": f"""{G}, {CHANGED}, {DELTA}, line AS (SELECT id, '- `' || name || '` (' || coalesce(file_path, '') || ':' || coalesce(CAST(start_line AS VARCHAR), '') || ')' AS line FROM n),

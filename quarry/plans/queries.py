@@ -169,6 +169,24 @@ def q_resolve_file(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d, "id", "kind", "name").where("kind = 'FILE'").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("candidates"))
 
 
+@query
+def q_find_file(spark: SparkSession, d: str) -> DataFrame:
+    files = contents(spark, d).select("id", "repo", "relative_path")
+    asked = hundredth(files).select("repo", F.regexp_replace(F.element_at(F.split("relative_path", "/"), -1), r"[._].*$", "").alias("text"))
+    return build.found_files(files, asked)
+
+
+@query
+def q_edge_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return e.where((F.col("source_id") % 100 == 0) & (F.col("target_id") % 10 == 0))
+
+
+@query
+def q_from_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return build.from_chunks(table(spark, d, "chunks")).select("id", "kind", "name", "repo", "file_path", "symbol_kind", F.md5("full_body").alias("digest"))
+
+
 @query
 def q_node_at_line(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d, "id", "kind", "repo", "file_path", "start_line", "end_line")
@@ -369,6 +387,18 @@ def q_impact(spark: SparkSession, d: str) -> DataFrame:
     return traverse.impacted(nodes(spark, d, "id", "kind", "repo", "file_path"), edges(spark, d), changed(spark, d))
 
 
+@query
+def q_impact_lines(spark: SparkSession, d: str) -> DataFrame:
+    ranges = hundredth(table(spark, d, "chunks"), "chunk_id").select("repo", "file_path", F.col("start_line").alias("first_line"), F.col("end_line").alias("last_line"))
+    return traverse.impacted(nodes(spark, d, "id", "kind", "repo", "file_path", "start_line", "end_line"), edges(spark, d), ranges)
+
+
+@query
+def q_impact_report(spark: SparkSession, d: str) -> DataFrame:
+    n, e, files = nodes(spark, d, "id", "kind", "name", "repo", "file_path", "start_line"), edges(spark, d), changed(spark, d)
+    return context.impact_report(n, traverse.impacted(n, e, files), traverse.importing_files(n, e, files))
+
+
 @query
 def q_impact_files(spark: SparkSession, d: str) -> DataFrame:
     return traverse.importing_files(nodes(spark, d, "id", "kind", "repo", "file_path"), edges(spark, d), changed(spark, d))

@@ -19,13 +19,18 @@ EDGE_SCHEMA = "source_id long, target_id long, kind string, weight double, metad
 def scanned(spark: SparkSession, root: str, repo: str = "", extra_ignores: tuple[str, ...] = ()) -> DataFrame:
     """(repo, path, relative_path, language, size, content_hash, content) of the files below a
     folder. Malformed UTF-8 is replaced. Ignored folders and names are left out; unreadable files
-    are skipped, and so are files without a byte, which Spark's file sources never open."""
+    are skipped, and so are files without a byte, which Spark's file sources never open. Lines of the
+    folder's .gitignore count as ignored names, too."""
     ship(spark)
+    try:
+        own = tuple(r[0].strip() for r in spark.read.text(f"{root.rstrip('/')}/.gitignore").collect())  # one file of the tree
+    except AnalysisException:
+        own = ()
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     bare = F.regexp_replace("path", "^file:(//)?", "")
     relative = F.substring(bare, len(base) + 2, 1 << 30)
-    named = raw.withColumn("relative_path", relative).where(~ignored("relative_path", extra_ignores))
+    named = raw.withColumn("relative_path", relative).where(~ignored("relative_path", (*own, *extra_ignores)))
     return named.select(
         F.lit(repo).alias("repo"), bare.alias("path"), "relative_path", language("relative_path").alias("language"), F.col("length").alias("size"),
         F.sha2("content", 256).alias("content_hash"), F.expr("make_valid_utf8(cast(content as string))").alias("content"),
