@@ -10,7 +10,6 @@ for every range length.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
@@ -28,7 +27,13 @@ RANGE = 8_192
 SCHEMA = "chunk_id long, piece_no long, start_char long, end_char long, overlap_chars long, tokens long, piece string"
 
 
-SPACE = re.compile(r"\s")
+# What a character is: line feed, end of a word, end of a sentence, white space, mark before a blank.
+LINE, WORD, END, SPACE, STOP, RETURN = 1, 2, 4, 8, 16, 32
+ASCII = np.zeros(129, np.uint8)  # the last for all beyond
+for _marks, _bit in (("\n", LINE), (" \t,", WORD), ("};", END), (" \t\n\r\v\f\x1c\x1d\x1e\x1f", SPACE), (".;!?", STOP), ("\r", RETURN)):
+    for _c in _marks:
+        ASCII[ord(_c)] |= _bit
+OTHER_SPACES = np.array([c for c in range(128, 0x3001) if chr(c).isspace()], np.uint32)
 
 
 class Cutter:
@@ -41,16 +46,19 @@ class Cutter:
         self.size, self.back = limit * CHARS, overlap * CHARS
         self.known: dict[int, int] = {}
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        before = np.concatenate([[0], code[:-1]])
-        line = code == 10
-        after_line = np.concatenate([[False], line[:-1]])
-        blank = line & (after_line | (before == 13) & np.concatenate([[False], after_line[:-1]]))
-        word = np.isin(code, [32, 9, 44])
-        sentence = np.isin(code, [125, 59]) | (code == 32) & np.isin(before, [46, 59, 33, 63])
+        what = ASCII[np.minimum(code, 128)]
+        line, word, white = (what & LINE) > 0, (what & WORD) > 0, (what & SPACE) > 0
+        if not text.isascii():
+            white |= np.isin(code, OTHER_SPACES)
+        blank, sentence = line.copy(), (what & END) > 0
+        if len(code):
+            blank[0] = False
+        blank[1:] &= line[:-1] | (what[:-1] & RETURN > 0) & np.concatenate([[False], line[:-2]])[: len(code) - 1]
+        sentence[1:] |= (code[1:] == 32) & ((what[:-1] & STOP) > 0)
         ends = lambda found: (np.flatnonzero(found) + 1).tolist()
         self.blanks, self.lines, self.sentences, self.words = ends(blank), ends(line), ends(sentence), ends(word)
         self.marks = ends(line | word | sentence)
-        self.spaces = [m.end() for m in SPACE.finditer(text)]
+        self.spaces = ends(white)
 
     def begin(self, cut: int) -> int:
         """Where the piece after ``cut`` begins: at the first line within the overlap, else at
