@@ -64,10 +64,34 @@ def test_cosine_matches_numpy_in_blocks(spark, monkeypatch):
     data = rng.normal(size=(60, 8))
     data[7] = 0
     vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "doc long, vector array<double>")
-    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "HELD", 24)
     found = search.cosine(vectors, vectors.where("doc < 8").withColumnRenamed("doc", "query"), 5)
     unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-10)
     for q in range(8):
         scores = np.round(unit @ unit[q], 6)
         want = sorted(range(60), key=lambda i: (-scores[i], i))[:5]
         assert [r.doc for r in found.where(f"query = {q}").orderBy("place").collect()] == want
+
+
+def test_scores_that_cannot_be_best_are_dropped_and_ties_never():
+    keep = search.Best(1, 2, -2.0)
+    first = keep.take(0, np.array([[0.5, 0.9, 0.5, 0.1]]))
+    assert first[1].tolist() == [0, 1, 2]
+    assert keep.take(0, np.array([[0.4, 0.5]]))[1].tolist() == [1]
+
+
+def test_word_vectors(spark):
+    rows = spark.createDataFrame([(1, "loadUserName"), (2, "load_user_name x"), (3, "brew tea"), (4, None), (5, "")], "doc long, text string")
+    made = {r.doc: r.vector for r in search.word_vectors(rows).collect()}
+    assert made[4] is None and made[5] is None and len(made[1]) == search.DIMENSIONS and any(made[1])
+    near = lambda a, b: float(np.dot(made[a], made[b]) / np.linalg.norm(made[a]) / np.linalg.norm(made[b]))
+    assert near(1, 2) > near(1, 3)
+
+
+def test_lookups_of_one_node(spark):
+    nodes, edges = small(spark)
+    ids = lambda frame: {r.id for r in frame.collect()}
+    assert ids(graph.neighbours_of(nodes, edges, 3)) == {1, 2, 4} and ids(graph.neighbours_of(nodes, edges, 1, "CALLS", "outgoing")) == {2}
+    assert ids(graph.neighbours_of(nodes, edges, 5)) == {5} and ids(graph.neighbours_of(nodes, edges, 99)) == set()
+    assert graph.edges_between(edges, 1).count() == 2 and graph.edges_between(edges, 1, 3).count() == 1 and graph.edges_between(edges).count() == 6
+    assert ids(graph.node(nodes, 4)) == {4}
