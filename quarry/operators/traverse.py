@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ BACKWARD, FORWARD = ("CALLS", "REFERENCES", "CONTAINS"), ("CALLS", "CALLED_BY",
 SLICE_HOPS, FLOW_HOPS = 4, 4
 # Links of one node that are joined in one part; a node with more is split by salt.
 HUB = 5000
+# Seeds whose answers one task gives of a part of at most HUB rows, and rows that a task should give.
+SEEDS, TASK_ROWS = 2000, 4_000_000
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -47,7 +50,7 @@ def reach_each(links: DataFrame, seeds: DataFrame, hops: int, allowed: Callable[
     together; where many seeds are near a hub, each has the hub's neighbours in its own answer."""
     hubs = cut(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id", F.ceil(F.col("n") / HUB).alias("ways")))
     ways = F.coalesce("ways", F.lit(1))
-    spread = cut(links.join(F.broadcast(hubs), "id", "left").select("id", "other", "kind", F.pmod(F.xxhash64("other"), ways).alias("salt")))  # at most links / HUB rows are broadcast
+    spread = cut(links.join(F.broadcast(hubs), "id", "left").select(*links.columns, F.pmod(F.xxhash64("other"), ways).alias("salt")))  # at most links / HUB rows are broadcast
     seen = front = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))
     for hop in range(1, hops + 1):
         rule = allowed(hop)
@@ -66,9 +69,75 @@ def ego(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reach(cut(steps(edges, "both")), seeds, hops)
 
 
+class Balls(NamedTuple):
+    """What each seed reaches over links both ways, without a row for each of its nodes.
+
+    A shortest path avoids all hubs or goes through one, so a depth is the lesser of the one without
+    hubs and the least sum of both distances to a hub. Nodes with the same distances to the same hubs
+    are a class: of those a depth is that of two classes. ``close`` has the rows that are nearer
+    without hubs, which are few where hubs are near."""
+
+    close: DataFrame  #: (seed, id, depth) that the hubs don't give
+    asked: DataFrame | None  #: (seed, from): class of each seed that has one; None where no node is a hub
+    near: DataFrame | None  #: (from, klass, depth) of classes
+    members: DataFrame | None  #: (id, klass) of nodes near a hub
+
+
+def balls(links: DataFrame, seeds: DataFrame, hops: int) -> Balls:
+    """The ``hops`` around each seed over links that go both ways. Hubs are at most links / HUB; the
+    distances to each are a search of its own."""
+    links = cut(links.select("id", "other").distinct())
+    hubs = cut(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id"))
+    seeds = seeds.select("id").distinct()
+    if hubs.isEmpty():
+        return Balls(reach_each(links, seeds, hops), None, None, None)
+    label = reach_each(links, hubs, hops).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("seed").alias("hub"), "depth"))).alias("hubs"))
+    label = cut(label.select("id", F.md5(F.to_json("hubs").cast("binary")).alias("klass"), "hubs"))
+    members = label.select("id", "klass")
+    asked = cut(members.join(seeds, "id").select(F.col("id").alias("seed"), F.col("klass").alias("from")))
+    far = cut(label.groupBy("klass").agg(F.first("hubs").alias("hubs")).select("klass", F.inline("hubs")))
+    start = far.join(asked.select(F.col("from").alias("klass")).distinct(), "klass").select(F.col("klass").alias("from"), "hub", F.col("depth").alias("before"))
+    through = start.join(far, "hub").where(F.col("before") + F.col("depth") <= hops)
+    near = cut(through.groupBy("from", "klass").agg(F.min(F.col("before") + F.col("depth")).alias("depth")))
+    few = F.broadcast(hubs)  # at most links / HUB rows are broadcast
+    inner = links.join(few, "id", "left_anti").join(few.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other")
+    alone = reach_each(inner, seeds.join(few, "id", "left_anti"), hops)
+    known = alone.join(asked, "seed", "left").join(members, "id", "left").join(near.withColumnRenamed("depth", "via"), ["from", "klass"], "left")
+    return Balls(cut(known.where("via is null or depth < via").select("seed", "id", "depth")), asked, near, members)
+
+
+def answers(asked: DataFrame, cells: DataFrame, items: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """For each seed (seed, from) and each cell of (from, cell, ...) all ``items`` (cell, ...) in it, but
+    not the ``known`` (seed, key). Cells are cut into parts; what is exchanged is a row for each item and
+    for each seed and part, while the rows of the answer arise in the tasks that return them."""
+    sizes = cut(items.groupBy("cell").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / HUB)))
+    turns = max(1, -(-asked.count() // SEEDS))
+    many = F.broadcast(sizes.where("ways > 1").select("cell", "ways"))  # at most items / HUB rows are broadcast
+    items = cut(items.join(many, "cell", "left").withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("ways", F.lit(1)))).drop("ways"))
+    but = known.join(items.select("cell", "part", key), key).groupBy("seed", "cell", "part").agg(F.collect_list(key).alias("but"))
+    wanted = asked.join(cells, "from").join(sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("part")), "cell").drop("from")
+    wanted = cut(wanted.join(but, ["seed", "cell", "part"], "left").withColumn("turn", F.pmod(F.xxhash64("seed"), F.lit(turns))))
+    rows = asked.groupBy("from").agg(F.count("*").alias("seeds")).join(cells, "from").join(sizes, "cell").agg(F.sum(F.col("seeds") * F.col("n"))).first()[0] or 0
+    tasks = max(2 * asked.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS)  # numbered parts, since AQE would judge them by what they read
+    by = ["cell", "part", "turn"]
+    turned = items.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    every = wanted.repartition(tasks, *by).hint("merge").join(turned.repartition(tasks, *by), by)
+    return every.where(F.col("but").isNull() | ~F.array_contains("but", F.col(key))).drop("but", *by)
+
+
+def each_of(found: Balls) -> DataFrame:
+    """(seed, id, depth) of every node that each seed reaches."""
+    if found.members is None:
+        return found.close
+    cells = found.near.withColumnRenamed("klass", "cell")
+    rest = answers(found.asked, cells, found.members.withColumnRenamed("klass", "cell"), "id", found.close.select("seed", "id"))
+    return found.close.unionByName(rest.select("seed", "id", "depth"))
+
+
 def ego_each(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
-    """(seed, id, depth): the ego graph of each centre on its own."""
-    return reach_each(steps(edges, "both"), centres, hops)
+    """(seed, id, depth): the ego graph of each centre on its own. The neighbours of a hub are in the
+    answer of every centre next to it; they are exchanged once."""
+    return each_of(balls(steps(edges, "both"), centres, hops))
 
 
 def sliced(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, backward: bool = True, each: bool = False) -> DataFrame:

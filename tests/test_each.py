@@ -50,6 +50,48 @@ def test_each_seed_has_its_own_answer(spark, monkeypatch):
     assert traverse.ego_each(edges, seeds.limit(0)).count() == 0
 
 
+def hubs(spark):
+    """Three hubs, two of them next to each other and one apart, with chains on their leaves."""
+    pairs = {(1, i) for i in range(100, 160)} | {(2, i) for i in range(150, 200)} | {(3, i) for i in range(300, 340)} | {(1, 2), (1, 1)}
+    pairs |= {(i, i + 1) for i in range(100, 110)} | {(i + 1000 * j, i + 1000 * (j + 1)) for i in (100, 101, 190, 300) for j in range(5)} | {(400, 401), (401, 402)}
+    kinds = ["CALLS", "CALLS", "CALLS", "IMPORTS"]
+    pairs = {(a, b, kinds[(a * 7 + b) % 4]) for a, b in pairs} | {(110, 310, "IMPORTS"), (150, 151, "IMPORTS"), (1100, 2190, "CONTAINS")}
+    return pairs, spark.createDataFrame([(*p, 1.0) for p in sorted(pairs)], EDGES)
+
+
+def rows_cut(monkeypatch):
+    """The rows of every table that is written to disk during a traversal."""
+    taken, cut = [], traverse.cut
+
+    def counted(df, **settings):
+        out = cut(df, **settings)
+        taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "cut", counted)
+    return taken
+
+
+def test_neighbours_of_hubs_for_each_centre(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HUB", 10)
+    monkeypatch.setattr(traverse, "SEEDS", 7)
+    pairs, edges = hubs(spark)
+    both = pairs | {(b, a, k) for a, b, k in pairs}
+    asked = [1, 2, 3, 100, 101, 105, 155, 190, 300, 1100, 2190, 5300, 339, 400, 999]
+    seeds = spark.createDataFrame([(i,) for i in asked], "id long")
+    for hops in (1, 2, 3, 4):
+        assert got(traverse.ego_each(edges, seeds, hops)) == {(s, i, d) for s in asked for i, d in walk(both, s, hops).items()}
+
+
+def test_answers_of_each_centre_are_not_written_in_between(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HUB", 50)
+    edges = spark.createDataFrame([(0, i, "CALLS", 1.0) for i in range(1, 401)], EDGES)
+    taken = rows_cut(monkeypatch)
+    seeds = spark.range(1, 201).select("id")
+    assert traverse.ego_each(edges, seeds).count() == 200 * 401
+    assert sum(taken) < 20_000  # before, more than the answer
+
+
 def test_lines_and_cuts_of_each_slice(spark, make_nodes):
     nodes = make_nodes([{"id": i, "repo": "r", "file_path": "a.py", "start_line": 10 * i, "full_body": "x\ny" * i} for i in (1, 2)])
     found = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 2, 0)], "seed long, id long, depth int")
