@@ -195,8 +195,10 @@ def delta_callers(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Dat
 
 
 def flow_layers(edges: DataFrame, seeds: DataFrame, each: bool = False) -> DataFrame:
-    """(id, depth) over calls both ways, up to four layers; with ``each`` (seed, id, depth)."""
-    return (reach_each if each else reach)(cut(steps(edges.where("kind = 'CALLS'"), "both")), seeds, FLOW_HOPS)
+    """(id, depth) over calls both ways, up to four layers; with ``each`` (seed, id, depth), where what
+    a hub calls is in the answer of every seed near it and is exchanged once."""
+    calls = steps(edges.where("kind = 'CALLS'"), "both")
+    return each_of(balls(calls, seeds, FLOW_HOPS)) if each else reach(cut(calls), seeds, FLOW_HOPS)
 
 
 def flow_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
