@@ -211,6 +211,32 @@ def flow_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
     return joined.select(*seed, "source_id", "target_id", "kind", F.least("from_layer", "to_layer").alias("layer"))
 
 
+def flow_edges_each(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, source_id, target_id, kind, layer): the edges of any kind between consecutive layers of
+    each seed. Edges between nodes of the same two classes have the same layer; only those at a node
+    that is nearer without hubs are looked at for each seed."""
+    edges = cut(edges.select("source_id", "target_id", "kind").withColumn("n", F.monotonically_increasing_id()))
+    found = balls(steps(edges.where("kind = 'CALLS'"), "both"), seeds, FLOW_HOPS)
+    if found.members is None:
+        return flow_edges(edges, found.close)
+    close, near, side = found.close, found.near, found.members
+    ends = edges.join(side.toDF("source_id", "a"), "source_id", "left").join(side.toDF("target_id", "b"), "target_id", "left")
+    ends = cut(ends.select("n", "source_id", "target_id", "kind", "a", "b"))
+    whole = ends.where("a is not null and b is not null").withColumn("cell", F.concat("a", "b"))
+    step = F.abs(F.col("from_layer") - F.col("to_layer")) == 1
+    of_a, of_b = near.toDF("from", "a", "from_layer"), near.toDF("from", "b", "to_layer")
+    cells = whole.select("a", "b", "cell").distinct().join(of_a, "a").join(of_b, ["from", "b"]).where(step)
+    cells = cut(cells.select("from", "cell", F.least("from_layer", "to_layer").alias("layer")))
+
+    at = close.select("seed", "id")
+    met = cut(at.withColumnRenamed("id", "source_id").join(ends, "source_id").select("seed", *ends.columns).unionByName(at.withColumnRenamed("id", "target_id").join(ends, "target_id").select("seed", *ends.columns)).dropDuplicates(["seed", "n"]))
+    sided = met.join(close.toDF("seed", "source_id", "x"), ["seed", "source_id"], "left").join(close.toDF("seed", "target_id", "y"), ["seed", "target_id"], "left").join(found.asked, "seed", "left")
+    sided = sided.join(of_a, ["from", "a"], "left").join(of_b, ["from", "b"], "left").withColumn("from_layer", F.coalesce("x", "from_layer")).withColumn("to_layer", F.coalesce("y", "to_layer"))
+    columns = ["seed", "source_id", "target_id", "kind", "layer"]
+    apart = sided.where(step).withColumn("layer", F.least("from_layer", "to_layer")).select(*columns)
+    return apart.unionByName(answers(found.asked, cells, whole.drop("a", "b"), "n", met.select("seed", "n")).select(*columns))
+
+
 def first_of(frame: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key in an order."""
     return frame.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

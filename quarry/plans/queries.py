@@ -435,8 +435,7 @@ def q_flow_layers_each(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_flow_edges_each(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    return traverse.flow_edges(e, traverse.flow_layers(e, hundredth(nodes(spark, d, "id", "kind")).where("kind = 'FUNCTION'"), each=True))
+    return traverse.flow_edges_each(edges(spark, d), hundredth(nodes(spark, d, "id", "kind")).where("kind = 'FUNCTION'"))
 
 
 # --- analytics ---

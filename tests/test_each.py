@@ -105,6 +105,22 @@ def test_layers_of_each_seed_are_not_written_in_between(spark, monkeypatch):
     assert sum(taken) < 30_000  # before, more than the answer
 
 
+def test_flow_edges_of_each_seed_are_not_written_in_between(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HUB", 10)
+    pairs, edges = hubs(spark)
+    calls = {x for x in pairs | {(b, a, k) for a, b, k in pairs} if x[2] == "CALLS"}
+    asked = [1, 3, 100, 101, 155, 190, 300, 1100, 5300, 339, 400, 999]
+    seeds = spark.createDataFrame([(i,) for i in asked], "id long")
+    flows = {s: walk(calls, s, 4) for s in asked}
+    want = {(s, a, b, k, min(f[a], f[b])) for s, f in flows.items() for a, b, k in pairs if a in f and b in f and abs(f[a] - f[b]) == 1}
+    out = [tuple(r) for r in traverse.flow_edges_each(edges, seeds).collect()]
+    assert len(out) == len(want) and set(out) == want
+    edges = spark.createDataFrame([(0, i, "CALLS", 1.0) for i in range(1, 401)], EDGES)
+    taken = rows_cut(monkeypatch)
+    assert traverse.flow_edges_each(edges, spark.range(1, 201).select("id")).count() == 200 * 400
+    assert sum(taken) < 40_000  # half the answer
+
+
 def test_lines_and_cuts_of_each_slice(spark, make_nodes):
     nodes = make_nodes([{"id": i, "repo": "r", "file_path": "a.py", "start_line": 10 * i, "full_body": "x\ny" * i} for i in (1, 2)])
     found = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 2, 0)], "seed long, id long, depth int")
