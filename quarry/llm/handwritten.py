@@ -4,7 +4,8 @@ Method: Re-Pair grammars over token sequences, at three scopes.
 
 * A file's own grammar over classed tokens. Its rules tell files that are one table; the grammar
   of its literals' characters, against that of the same characters shuffled, tells literals that
-  no rule shortens (blobs); a grammar that needs neither layout nor names tells minified code.
+  no rule shortens (blobs); a grammar that needs neither layout nor names tells minified code; one
+  of the code's structure that is a tenth of the code or less tells generated code without a notice.
 * The corpus's grammar of comment lines at the outer level. A line that holds a rule used in
   several repositories is boilerplate; what a boilerplate line says (a tool's notice or a
   publisher's) is read once a line of that dictionary, not once a file. The names that publishers'
@@ -34,6 +35,18 @@ LITERAL = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\
 COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|^[ \t]*#[^\n]*", re.S | re.M)
 PYTHON_COMMENT = re.compile(r"(?m)^[ \t]*#[^\n]*")
 NOTATION = re.compile(r"(?<![\w.])0[xX]|\\x|\\u00|[\s\"'`]")  # what writing a byte or a text as a literal adds
+#: Encodings: what stands behind one may be as ordered as any text, so no grammar of its characters tells it from writing.
+ENCODED = tuple(
+    re.compile(r"(?:data:[^,]*,)?" + x)
+    for x in (
+        r"(?=.*\d)(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)",
+        r"(?=.*\d)(?=.*[A-Z])[A-Z2-7]+=*",
+        r"(?=.*\d)(?=.*[a-z])(?=.*[A-Z])(?:[A-Za-z0-9+/]+=*|[A-Za-z0-9_-]+=*|[0-9A-Za-z!#$%&()*+;<=>?@^_`{|}~-]+)",
+    )
+)
+NUMBER = re.compile(r"\d[\w.]*")
+TABLE = re.compile(r"[\[({](?=[n:,]*0)[n0:,]*[\])}]")  # of a file's structure: a bracket of literals and names
+ENTRY = re.compile(r"(?:n[n:]*=|[n0]:)0[;,]?")  # a name or key that is given a literal
 OPENING = re.compile(r"\A(?:\ufeff|\s|#![^\n]*\n|'use strict';?|\"use strict\";?|/\*.*?\*/|//[^\n]*(?:\n|\Z)|#[^\n]*(?:\n|\Z)|--[^\n]*(?:\n|\Z)|<!--.*?-->)*", re.S)
 OUTER = re.compile(r"^(?:#|//|<!--)[^\n]*|^/\*(?!\*).*?\*/", re.M | re.S)
 SAID = re.compile(r"[^\W\d_]+|\d+|[@!©]")
@@ -60,8 +73,13 @@ CODE_SPAN = 12
 LEVELS = 4
 #: Characters of literals from which their grammar can tell random from ordered ones.
 LITERAL_CHARS = 256
-#: A literal is near-incompressible when its grammar is at least this share of a shuffled one's.
-RANDOM = 0.8
+#: A literal is near-incompressible when its grammar is at least this share of a shuffled one's. Of
+#: 256 to 4,000 characters, random ones measure 0.98 or more, prose, lists and patterns 0.93 or less.
+RANDOM = 0.95
+#: Reuse from which code or a literal counts as written by a tool: its grammar is a tenth of it.
+REPEATED = 0.9
+#: Tokens that repeat side by side in units up to CODE_SPAN: lists of statements, which people write.
+RUN = re.compile(rf"(.{{1,{CODE_SPAN}}}?)\1+")
 
 
 def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -188,33 +206,79 @@ def line_rules(lines: list[str]) -> list[list[int]]:
     return out
 
 
+def characters(text: str) -> np.ndarray:
+    """The characters of a text as symbols of a grammar."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def literal_grammar(literal: str) -> np.ndarray:
+    """Sizes of the Re-Pair grammars of a literal's characters and of the same in a random order."""
+    codes = characters(literal)
+    mixed = np.random.default_rng(0).permutation(codes)
+    rules, left = repair(np.concatenate([codes, mixed]), np.repeat([0, 1], len(codes)), 2)
+    return 2 * rules + left
+
+
 def incompressible(literal: str) -> bool:
     """Whether the Re-Pair grammar of a literal's characters is about as large as that of the same
     characters in a random order."""
-    codes = np.frombuffer(literal.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    mixed = np.random.default_rng(0).permutation(codes)
-    owner = np.repeat([0, 1], len(codes))
-    rules, left = repair(np.concatenate([codes, mixed]), owner, 2)
-    size = 2 * rules + left
-    return len(codes) >= LITERAL_CHARS and size[0] >= RANDOM * size[1]
+    size = literal_grammar(literal)
+    return len(literal) >= LITERAL_CHARS and bool(size[0] >= RANDOM * size[1])
 
 
-def unbroken(literals: list[str]) -> bool:
-    """Whether there is one literal alone, long and without any white space: encoded text."""
-    return len(literals) == 1 and len(literals[0]) >= LITERAL_CHARS and not any(c.isspace() for c in literals[0])
+def blob(literals: list[str]) -> bool:
+    """Whether literals are bytes or encoded text: their grammar is near-incompressible, or it is that
+    of one literal without white space and a tenth of it, or they are all of one encoding."""
+    body = NOTATION.sub("", " ".join(literals))
+    if len(body) < LITERAL_CHARS:
+        return False
+    size = literal_grammar(body)
+    whole = len(literals) == 1 and not any(c.isspace() for c in literals[0])
+    return bool(size[0] >= RANDOM * size[1] or whole and size[0] <= (1 - REPEATED) * len(body)) or any(x.fullmatch(body) for x in ENCODED)
 
 
-def own_grammar(text: str, path: str, classes: np.ndarray) -> str:
-    """``minified`` or ``data`` by the file's own grammar, or nothing."""
+def bare_code(text: str, path: str) -> str:
+    """A file's code without comments, every literal as 0; nothing of documents."""
+    if path.lower().endswith(DOCUMENTS):
+        return ""
+    return (PYTHON_COMMENT if path.lower().endswith(".py") else COMMENT).sub("", LITERAL.sub("0", text))
+
+
+def structure(code: str) -> str:
+    """A character for each token of code: n for names, 0 for literals, marks as they are. Tables of
+    literals are one literal, and what only gives a name a literal is left out: people write both."""
+    kinds = "".join(NUMBER.sub("0", WORD.sub("n", code)).split())
+    while len(less := TABLE.sub("0", kinds)) < 0.99 * len(kinds):  # a level of brackets each time; what deeper ones save doesn't weigh
+        kinds = less
+    return ENTRY.sub("", less)
+
+
+def structural_reuse(structures: list[str]) -> np.ndarray:
+    """Share of each structure that its Re-Pair grammar saves; 0 of an empty one."""
+    sizes = np.array([len(x) for x in structures], np.int64)
+    return np.where(sizes > 0, shortened(characters("".join(structures)), np.repeat(np.arange(len(sizes)), sizes), len(sizes)), 0.0)
+
+
+def written_over(code: str, reuse: float) -> bool:
+    """Whether a file's code is written over and over: its structure's grammar is a tenth of it, also
+    when runs of short units, such as lists of calls, count once. ``reuse`` is that measured among
+    other files, where ties fall otherwise; what comes near is measured again alone."""
+    if reuse < REPEATED - 0.05:
+        return False
+    kinds = structure(code)
+    return all(structural_reuse([x])[0] >= REPEATED for x in (kinds, RUN.sub(r"\1", kinds)))
+
+
+def own_grammar(text: str, path: str, classes: np.ndarray, code: str | None = None, built: float | None = None) -> str:
+    """``minified``, ``data`` or ``generated`` by the file's own grammar, or nothing. The file's bare
+    code and its structure's reuse are measured here unless given."""
     if path.lower().endswith(DOCUMENTS) or not len(classes):
         return ""
-    bare = LITERAL.sub("0", text)
-    code = (PYTHON_COMMENT if path.lower().endswith(".py") else COMMENT).sub("", bare)
+    code = bare_code(text, path) if code is None else code
+    built = structural_reuse([structure(code)])[0] if built is None else built
     words = WORD.findall(code)
     few = len(set(words)) <= 14
     short = len(words) >= 12 and sum(map(len, words)) <= 5 * len(words)
-    if not few and not short:
-        return ""
     if few:
         found = LITERAL.findall(text)
         size = lambda parts: sum(len("".join(x.split())) for x in parts)
@@ -222,14 +286,14 @@ def own_grammar(text: str, path: str, classes: np.ndarray) -> str:
         reuse = shortened(classes, np.zeros(len(classes), np.int64), 1)[0]
         if size(x for x in found if x[0] not in "\"'`") >= enough and reuse >= 0.6:
             return "data"  # numbers only: a table is few rules, used over and over
-        if size(found) >= enough and (len(words) <= 14 or reuse >= 0.6) and (unbroken(found) or incompressible(NOTATION.sub("", " ".join(found)))):
+        if size(found) >= enough and (len(words) <= 14 or reuse >= 0.6) and blob(found):
             return "data"
     if short and sum(c.isspace() for c in code) <= 0.12 * len(code) and sum(len(x) for x in code.split("\n") if len(x) > 120) >= 0.5 * len(code):
         names = np.array([c for c in TOKEN.findall(code)], dtype=object)
         kinds = pd.util.hash_array(np.array(["n" if WORD.fullmatch(x) else "0" if x[0].isdigit() else x for x in names], dtype=object))
         if shortened(kinds, np.zeros(len(kinds), np.int64), 1)[0] >= 0.3:
             return "minified"
-    return ""
+    return "generated" if written_over(code, built) else ""
 
 
 def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,6 +339,8 @@ def features(nodes: DataFrame) -> DataFrame:
             big = span >= CODE_SPAN
             rule, own, span = rule[big].view(np.int64), own[big], span[big]
             cuts = np.searchsorted(own, np.arange(len(texts) + 1))
+            codes = [bare_code(t, p) for t, p in zip(texts, paths, strict=True)]
+            built = structural_reuse([structure(c) for c in codes])
             said = [outer_lines(t) for t in texts]
             flat = line_rules([x for lines in said for x in lines])
             at = np.concatenate([[0], np.cumsum([len(x) for x in said])]).astype(int)
@@ -282,7 +348,7 @@ def features(nodes: DataFrame) -> DataFrame:
                 {
                     "repo": batch["repo"].tolist(),
                     "relative_path": paths,
-                    "verdict": [own_grammar(t, p, classes[a:b]) for t, p, a, b in zip(texts, paths, ends[:-1], ends[1:], strict=True)],
+                    "verdict": [own_grammar(t, p, classes[a:b], c, r) for t, p, a, b, c, r in zip(texts, paths, ends[:-1], ends[1:], codes, built, strict=True)],
                     "tokens": sizes.astype("int64"),
                     "rules": [rule[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
                     "spans": [span[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
