@@ -16,7 +16,7 @@ BACKWARD, FORWARD = ("CALLS", "REFERENCES", "CONTAINS"), ("CALLS", "CALLED_BY",
 SLICE_HOPS, FLOW_HOPS = 4, 4
 # Links of one node that are joined in one part; a node with more is split by salt.
 HUB = 5000
-# Seeds whose answers one task gives of a part of at most HUB rows, and rows that a task should give.
+# Seeds in one list, of which each row of a part makes its answers, and rows that a task should give.
 SEEDS, TASK_ROWS = 2000, 4_000_000
 
 
@@ -50,7 +50,7 @@ def reach_each(links: DataFrame, seeds: DataFrame, hops: int, allowed: Callable[
     together; where many seeds are near a hub, each has the hub's neighbours in its own answer."""
     hubs = cut(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id", F.ceil(F.col("n") / HUB).alias("ways")))
     ways = F.coalesce("ways", F.lit(1))
-    spread = cut(links.join(F.broadcast(hubs), "id", "left").select(*links.columns, F.pmod(F.xxhash64("other"), ways).alias("salt")))  # at most links / HUB rows are broadcast
+    spread = cut(links.join(F.broadcast(hubs), "id", "left").select(*links.columns, F.pmod(F.xxhash64("other"), ways).alias("salt")), packed=True)  # at most links / HUB rows are broadcast
     seen = front = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))
     for hop in range(1, hops + 1):
         rule = allowed(hop)
@@ -80,19 +80,19 @@ class Balls(NamedTuple):
     close: DataFrame  #: (seed, id, depth) that the hubs don't give
     asked: DataFrame | None  #: (seed, from): class of each seed that has one; None where no node is a hub
     near: DataFrame | None  #: (from, klass, depth) of classes
-    members: DataFrame | None  #: (id, klass) of nodes near a hub
+    members: DataFrame | None  #: (id, klass, nearer) of nodes that have a class or are close to seeds; nearer: those (seed, depth), or null
 
 
 def balls(links: DataFrame, seeds: DataFrame, hops: int) -> Balls:
     """The ``hops`` around each seed over links that go both ways. Hubs are at most links / HUB; the
     distances to each are a search of its own."""
-    links = cut(links.select("id", "other").distinct())
+    links = cut(links.select("id", "other").distinct(), packed=True)
     hubs = cut(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id"))
     seeds = seeds.select("id").distinct()
     if hubs.isEmpty():
         return Balls(reach_each(links, seeds, hops), None, None, None)
     label = reach_each(links, hubs, hops).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("seed").alias("hub"), "depth"))).alias("hubs"))
-    label = cut(label.select("id", F.md5(F.to_json("hubs").cast("binary")).alias("klass"), "hubs"))
+    label = cut(label.select("id", F.md5(F.to_json("hubs").cast("binary")).alias("klass"), "hubs"), packed=True)
     members = label.select("id", "klass")
     asked = cut(members.join(seeds, "id").select(F.col("id").alias("seed"), F.col("klass").alias("from")))
     far = cut(label.groupBy("klass").agg(F.first("hubs").alias("hubs")).select("klass", F.inline("hubs")))
@@ -103,26 +103,29 @@ def balls(links: DataFrame, seeds: DataFrame, hops: int) -> Balls:
     inner = links.join(few, "id", "left_anti").join(few.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other")
     alone = reach_each(inner, seeds.join(few, "id", "left_anti"), hops)
     known = alone.join(asked, "seed", "left").join(members, "id", "left").join(near.withColumnRenamed("depth", "via"), ["from", "klass"], "left")
-    return Balls(cut(known.where("via is null or depth < via").select("seed", "id", "depth")), asked, near, members)
+    close = cut(known.where("via is null or depth < via").select("seed", "id", "depth"))
+    nearer = close.groupBy("id").agg(F.collect_list(F.struct("seed", "depth")).alias("nearer"))
+    return Balls(close, asked, near, cut(members.join(nearer, "id", "full"), packed=True))
 
 
-def answers(asked: DataFrame, cells: DataFrame, items: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """For each seed (seed, from) and each cell of (from, cell, ...) all ``items`` (cell, ...) in it, but
-    not the ``known`` (seed, key). Cells are cut into parts; what is exchanged is a row for each item and
-    for each seed and part, while the rows of the answer arise in the tasks that return them."""
+def answers(asked: DataFrame, cells: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """For each seed (seed, from) and each cell of (from, cell, ...) all ``items`` (cell, but, ...) in it
+    whose ``but``, a list of seeds or null, lacks the seed. Cells are cut into parts by the items' columns
+    ``by``. What is exchanged is each item once, and for each part the seeds of its cell in lists; the
+    rows of the answer arise in the tasks that return them, those of one item together."""
     sizes = cut(items.groupBy("cell").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / HUB)))
     turns = max(1, -(-asked.count() // SEEDS))
     many = F.broadcast(sizes.where("ways > 1").select("cell", "ways"))  # at most items / HUB rows are broadcast
-    items = cut(items.join(many, "cell", "left").withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("ways", F.lit(1)))).drop("ways"))
-    but = known.join(items.select("cell", "part", key), key).groupBy("seed", "cell", "part").agg(F.collect_list(key).alias("but"))
-    wanted = asked.join(cells, "from").join(sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("part")), "cell").drop("from")
-    wanted = cut(wanted.join(but, ["seed", "cell", "part"], "left").withColumn("turn", F.pmod(F.xxhash64("seed"), F.lit(turns))))
-    rows = asked.groupBy("from").agg(F.count("*").alias("seeds")).join(cells, "from").join(sizes, "cell").agg(F.sum(F.col("seeds") * F.col("n"))).first()[0] or 0
-    tasks = max(2 * asked.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS)  # numbered parts, since AQE would judge them by what they read
-    by = ["cell", "part", "turn"]
-    turned = items.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-    every = wanted.repartition(tasks, *by).hint("merge").join(turned.repartition(tasks, *by), by)
-    return every.where(F.col("but").isNull() | ~F.array_contains("but", F.col(key))).drop("but", *by)
+    items = items.join(many, "cell", "left").withColumn("part", F.pmod(F.xxhash64(*by), F.coalesce("ways", F.lit(1)))).drop("ways")
+    same = [c for c in cells.columns if c != "from"]
+    lists = asked.join(cells, "from").groupBy(*same, F.pmod(F.xxhash64("seed"), F.lit(turns)).alias("turn")).agg(F.sort_array(F.collect_list("seed")).alias("seeds"))
+    lists = cut(lists.drop("turn"))
+    rows, parts = lists.join(sizes, "cell").agg(F.sum(F.size("seeds") * F.col("n")), F.sum("ways")).first()
+    tasks = max(2 * asked.sparkSession.sparkContext.defaultParallelism, min((rows or 0) // TASK_ROWS, parts or 0))  # numbered parts, since AQE would judge them by what they read
+    lists = lists.join(sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("part")), "cell")
+    every = items.repartition(tasks, "cell", "part").join(lists.repartition(tasks, "cell", "part").hint("shuffle_hash"), ["cell", "part"])
+    left = F.when(F.col("but").isNull(), F.col("seeds")).otherwise(F.array_except("seeds", "but"))
+    return every.withColumn("seed", F.explode(left)).drop("cell", "part", "seeds", "but")
 
 
 def each_of(found: Balls) -> DataFrame:
@@ -130,8 +133,8 @@ def each_of(found: Balls) -> DataFrame:
     if found.members is None:
         return found.close
     cells = found.near.withColumnRenamed("klass", "cell")
-    rest = answers(found.asked, cells, found.members.withColumnRenamed("klass", "cell"), "id", found.close.select("seed", "id"))
-    return found.close.unionByName(rest.select("seed", "id", "depth"))
+    items = found.members.where("klass is not null").select("id", F.col("klass").alias("cell"), F.col("nearer.seed").alias("but"))
+    return found.close.unionByName(answers(found.asked, cells, items, ["id"]).select("seed", "id", "depth"))
 
 
 def ego_each(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
@@ -215,26 +218,30 @@ def flow_edges_each(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, source_id, target_id, kind, layer): the edges of any kind between consecutive layers of
     each seed. Edges between nodes of the same two classes have the same layer; only those at a node
     that is nearer without hubs are looked at for each seed."""
-    edges = cut(edges.select("source_id", "target_id", "kind").withColumn("n", F.monotonically_increasing_id()))
+    edges = cut(edges.select("source_id", "target_id", "kind"), packed=True)
     found = balls(steps(edges.where("kind = 'CALLS'"), "both"), seeds, FLOW_HOPS)
     if found.members is None:
         return flow_edges(edges, found.close)
     close, near, side = found.close, found.near, found.members
-    ends = edges.join(side.toDF("source_id", "a"), "source_id", "left").join(side.toDF("target_id", "b"), "target_id", "left")
-    ends = cut(ends.select("n", "source_id", "target_id", "kind", "a", "b"))
-    whole = ends.where("a is not null and b is not null").withColumn("cell", F.concat("a", "b"))
+    ends = edges.join(side.toDF("source_id", "a", "near_a"), "source_id", "left").join(side.toDF("target_id", "b", "near_b"), "target_id", "left")
+    ends = cut(ends.where("a is not null and b is not null or near_a is not null or near_b is not null"), packed=True)
     step = F.abs(F.col("from_layer") - F.col("to_layer")) == 1
     of_a, of_b = near.toDF("from", "a", "from_layer"), near.toDF("from", "b", "to_layer")
-    cells = whole.select("a", "b", "cell").distinct().join(of_a, "a").join(of_b, ["from", "b"]).where(step)
-    cells = cut(cells.select("from", "cell", F.least("from_layer", "to_layer").alias("layer")))
-
-    at = close.select("seed", "id")
-    met = cut(at.withColumnRenamed("id", "source_id").join(ends, "source_id").select("seed", *ends.columns).unionByName(at.withColumnRenamed("id", "target_id").join(ends, "target_id").select("seed", *ends.columns)).dropDuplicates(["seed", "n"]))
-    sided = met.join(close.toDF("seed", "source_id", "x"), ["seed", "source_id"], "left").join(close.toDF("seed", "target_id", "y"), ["seed", "target_id"], "left").join(found.asked, "seed", "left")
+    cells = ends.select("a", "b").distinct().join(of_a, "a").join(of_b, ["from", "b"]).where(step)
+    cells = cut(cells.select("from", "a", "b", F.least("from_layer", "to_layer").alias("layer")), packed=True)
+    cell = F.concat("a", "b").alias("cell")
+    whole = ends.join(cells.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    but = F.coalesce(F.array_union("near_a.seed", "near_b.seed"), "near_a.seed", "near_b.seed").alias("but")
+    whole = whole.select("source_id", "target_id", "kind", cell, but)
+
+    met = ["source_id", "target_id", "kind", "a", "b"]
+    ahead = ends.select(*met, F.inline("near_a").alias("seed", "x")).join(close.toDF("seed", "target_id", "y"), ["seed", "target_id"], "left")
+    behind = ends.select(*met, F.inline("near_b").alias("seed", "y")).join(close.toDF("seed", "source_id", "x"), ["seed", "source_id"], "left").where("x is null")
+    sided = ahead.unionByName(behind).join(found.asked, "seed", "left")
     sided = sided.join(of_a, ["from", "a"], "left").join(of_b, ["from", "b"], "left").withColumn("from_layer", F.coalesce("x", "from_layer")).withColumn("to_layer", F.coalesce("y", "to_layer"))
     columns = ["seed", "source_id", "target_id", "kind", "layer"]
     apart = sided.where(step).withColumn("layer", F.least("from_layer", "to_layer")).select(*columns)
-    return apart.unionByName(answers(found.asked, cells, whole.drop("a", "b"), "n", met.select("seed", "n")).select(*columns))
+    return apart.unionByName(answers(found.asked, cells.select("from", cell, "layer"), whole, ["source_id", "target_id"]).select(*columns))
 
 
 def first_of(frame: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,13 +74,15 @@ def shared_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame, fixed: bool = False) -> DataFrame:
+def cut(df: DataFrame, fixed: bool = False, packed: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends
     and a lost executor costs nothing that came before. Size and partitioning stay known.
 
     A checkpoint would keep the constraints that its plan implied, and over rounds of self-joins the
     optimizer would multiply them, so none are derived while it is taken. ``fixed`` runs a plan whose
-    partitioning is laid out already as one job, without planning each of its stages anew."""
+    partitioning is laid out already as one job, without planning each of its stages anew. ``packed``
+    writes compressed columns into the same folder, for large tables whose partitioning is of no use
+    later; like checkpoints that no cleaner removes, they stay there when the application ends."""
     spark = df.sparkSession
     shared_folder(spark)
     settings = {"spark.sql.constraintPropagation.enabled": "false"} | ({"spark.sql.adaptive.enabled": "false"} if fixed else {})
@@ -87,6 +90,10 @@ def cut(df: DataFrame, fixed: bool = False) -> DataFrame:
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
+        if packed:
+            place = f"{spark.sparkContext.getCheckpointDir()}/packed-{uuid.uuid4().hex}"
+            df.write.parquet(place)
+            return spark.read.schema(df.schema).parquet(place)
         return df.checkpoint(eager=True)
     finally:
         for key, value in before.items():

@@ -121,6 +121,20 @@ def test_flow_edges_of_each_seed_are_not_written_in_between(spark, monkeypatch):
     assert sum(taken) < 40_000  # half the answer
 
 
+def test_seeds_are_not_written_for_each_part_of_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HUB", 5)  # 80 parts
+    monkeypatch.setattr(traverse, "SEEDS", 20)
+    pairs = {(0, i, "CALLS") for i in range(1, 401)} | {(5, 6, "CALLS"), (5, 6, "IMPORTS"), (6, 7, "CONTAINS")}
+    flows = {s: walk({x for x in pairs | {(b, a, k) for a, b, k in pairs} if x[2] == "CALLS"}, s, 4) for s in range(1, 201)}
+    want = {(s, a, b, k, min(f[a], f[b])) for s, f in flows.items() for a, b, k in pairs if abs(f[a] - f[b]) == 1}
+    taken = rows_cut(monkeypatch)
+    frame = traverse.flow_edges_each(spark.createDataFrame([(*p, 1.0) for p in sorted(pairs)], EDGES), spark.range(1, 201).select("id"))
+    written = sum(taken)
+    out = [tuple(r) for r in frame.collect()]
+    assert len(out) == len(want) and set(out) == want
+    assert written < 12_000  # before, the seeds times the parts as well
+
+
 def test_lines_and_cuts_of_each_slice(spark, make_nodes):
     nodes = make_nodes([{"id": i, "repo": "r", "file_path": "a.py", "start_line": 10 * i, "full_body": "x\ny" * i} for i in (1, 2)])
     found = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 2, 0)], "seed long, id long, depth int")
